@@ -1,0 +1,17 @@
+"""Every registered query of the library's own operators, with its oracle SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FLAGSHIP = "ledger_action_state"
+
+
+def ledger_action_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"))
+
+
+QUERIES = {"ledger_action_state": ledger_action_state}
+ORACLE_SQL = {"ledger_action_state": "SELECT user_id, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id"}
