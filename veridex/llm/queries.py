@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .fingerprint import op9_order_fingerprint
+from .langid import op10_language_id
+from .license_scan import op7_license_scan
+from .mixing import op2_curriculum_mix
+from .pieces import op5_sentencepiece
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_curriculum_mix": op2_curriculum_mix,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_license_scan": op7_license_scan,
     "op9_order_fingerprint": op9_order_fingerprint,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL: tests/llm holds them against brute force, exact round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op2_curriculum_mix": mixing.SQL}
