@@ -36,7 +36,7 @@ from . import _points as P
 from .langid import remainder, sampled
 
 MAX_TRAIN, DISTANCE, FUZZY_FROM, WINDOW = 20_000, 1, 5, 6
-SUPPORT, LEAST_RATIO, LEAST_SHARE, MAX_LETTERS = 3, 12.0, 0.5, 40
+SUPPORT, LEAST_RATIO, LEAST_SHARE, MAX_LETTERS = 3, 18.0, 0.5, 40
 # Words that report speech, and words of address.
 REPORTING = frozenset("said says say quote quoted quotes wrote writes called calls word words term dit disait cite mot sagte sagt zitat wort nannte dijo dice cita palabra".split())
 ADDRESS = frozenset("you your yours yourself u ur tu toi vous votre du dich dir ihr euch usted tú ustedes vosotros".split())
@@ -143,8 +143,8 @@ class Automaton:
         return term, edits
 
 
-#: Columns of a document's features: logarithms of summed weights of terms, of misspelled terms, and of either as quotation.
-FEATURES = ("exact", "misspelled", "quotation")
+#: Columns of a document's features: logarithms of summed weights of terms, of misspelled terms and of either as quotation, and of the number of terms.
+FEATURES = ("exact", "misspelled", "quotation", "kinds")
 #: A misspelled term's least coefficient, as a share of an exact one's: the sample may hold too few to learn it.
 LEAST_MISSPELLED = 0.75
 
@@ -192,6 +192,9 @@ def document_features(buf: np.ndarray, off: np.ndarray, model: Model, automaton:
         abuse = _context(cp, s, e, h, lo, hi)
         out[d, int(edits[h] > 0)] += weight * abuse
         out[d, 2] += weight * (1.0 - abuse)
+    if len(hits):
+        each = np.unique(doc * len(model.terms) + term[hits])
+        out[:, 3] = np.bincount(each // len(model.terms), minlength=len(out))
     out = np.log1p(out)
     return out, np.bincount(doc, minlength=len(off) - 1)
 
@@ -258,17 +261,25 @@ def learn_lexicon(docs: DataFrame, support: int = SUPPORT, ratio: float = LEAST_
     return terms, weights, np.clip(np.minimum(odds, weights), 0, None).tolist()
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method on a bounded sample."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x1.shape[1]), np.full(x1.shape[1], penalty * len(x) / 100 + 1e-6)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1.T * (p * (1 - p))) @ x1 + np.diag(ridge), x1.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton's method on a bounded sample. More
+    hits never speak against toxicity: a coefficient that would be negative is 0."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        x1 = np.hstack([x[:, use], np.ones((len(x), 1))])
+        w, ridge = np.zeros(x1.shape[1]), np.full(x1.shape[1], penalty)
+        ridge[-1] = 1e-6
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            step = np.linalg.solve((x1.T * (p * (1 - p))) @ x1 + np.diag(ridge), x1.T @ (y - p) - ridge * w)
+            w += np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all():
+            coef = np.zeros(x.shape[1])
+            coef[use] = w[:-1]
+            return coef, float(w[-1])
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
