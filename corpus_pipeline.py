@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veridex.llm import _io
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from veridex.llm.langid import known_language_stage
+from veridex.llm.mixing import mix_stage
+from veridex.llm.near_dup import one_of_each_stage
+from veridex.llm.pieces import encode_stage
+from veridex.llm.substring_dedup import substring_stage
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language_stage),
+    ("near_duplicates", one_of_each_stage),
+    ("substrings", substring_stage),
+    ("mix", mix_stage),
+    ("encode", encode_stage),
+]
 
 #: SQL expresses neither the classifier nor the suffix arrays; tests/llm holds run() against a brute-force version.
 ORACLE_SQL: str | None = None

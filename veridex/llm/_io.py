@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +33,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lineage, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridex/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, was = spark.conf, spark.conf.get(_CLEANUP, None)
+    try:
+        conf.set(_CLEANUP, "true")  # this write's shuffle files go once it has ended
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, was) if was is not None else conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._veridex_path = path
     return out

@@ -145,8 +145,8 @@ class Grams:
         low = _LOWER[buf]
         s, e, first = spans(low, off, table)
         n_words = np.diff(first)
-        self.n_words = n_words
-        words = span_hash(prefix_hash(low), s, e) if len(s) else np.zeros(0, np.uint64)
+        self.n_words, self.word_first = n_words, first
+        self.words = words = span_hash(prefix_hash(low), s, e) if len(s) else np.zeros(0, np.uint64)
         n = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
         self.first = np.concatenate([[0], np.cumsum(n)])
         total = int(self.first[-1])

@@ -7,14 +7,18 @@ from .fingerprint import op9_order_fingerprint
 from .langid import op10_language_id
 from .license_scan import op7_license_scan
 from .mixing import op2_curriculum_mix
+from .near_dup import op8_order_minhash
 from .pieces import op5_sentencepiece
+from .substring_dedup import op6_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_order_minhash": op8_order_minhash,
     "op9_order_fingerprint": op9_order_fingerprint,
     "op10_language_id": op10_language_id,
 }
