@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,13 +56,31 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
+#: Arrow batches are kept small, so that a few very long texts or wide rows don't fill an executor.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+Batches = Iterator[pa.RecordBatch]
 
-    return run
+
+def arrow_map(df: DataFrame, f: Callable[[Batches], Batches], schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with small batches; a task gives its memory back when it ends."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Returns freed memory to the system: workers are kept for later tasks, and so would be what they once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partitions_for(n_rows: int, per: int, least: int = 1) -> int:

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[id_col, "fingerprint"])
 
     src = docs.select(F.col(id_col), F.col(text_col))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, fingerprint string")
+    return src.transform(_io.arrow_map, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 class _Texts:
@@ -156,7 +156,7 @@ def with_edit(docs: DataFrame, k: int = WORDS, m: int = M, ell: int = ELL, rows_
         if last is not None:
             yield edge(last[0], last[2], 1, part, last[1].buf.tobytes())
 
-    rows = _io.materialize(ranged.mapInArrow(neighbours, schema), "fingerprint-rows")
+    rows = _io.materialize(ranged.transform(_io.arrow_map, neighbours, schema), "fingerprint-rows")
     # one number for each range that has rows: bounded by the number of tasks
     parts = sorted(r[0] for r in rows.where("kind = 2").select("part").collect())
     if not parts:
@@ -172,7 +172,7 @@ def with_edit(docs: DataFrame, k: int = WORDS, m: int = M, ell: int = ELL, rows_
                 a, z = (_Texts(*_pack([r[x].encode()])) for x in ("payload", "next_payload"))
                 yield whole([r["doc_id"]], a.n_chars.tolist(), [_edited(a, 0, z, 0)], from_hex(r["fingerprint"])[None, :], from_hex(r["next_fingerprint"])[None, :])
 
-    return rows.where("kind = 0").unionByName(pairs.mapInArrow(finish, schema)).drop("kind", "part", "payload")
+    return rows.where("kind = 0").unionByName(pairs.transform(_io.arrow_map, finish, schema)).drop("kind", "part", "payload")
 
 
 def _arrow_type(docs: DataFrame) -> pa.DataType:

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = SMOOTHIN
             yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(v[at], seen[x]))], names=["lang", "bucket", "n"])
 
     # the sample is bounded, so a few tasks hold it; the result has at most languages x buckets rows
-    counted = train.repartition(8).mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = train.repartition(8).transform(_io.arrow_map, count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique().tolist())
     weight, prior = np.zeros((len(languages), 1 << bits)), np.zeros(max(1, len(languages)))
     for k, x in enumerate(languages):
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_c
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    return src.mapInArrow(run, StructType([*src.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())]))
+    return src.transform(_io.arrow_map, run, StructType([*src.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

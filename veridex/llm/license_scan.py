@@ -181,7 +181,7 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, base:
             types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), _NOTICE]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(cols, types, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"])
 
-    return src.mapInArrow(run, StructType([src.schema["doc_id"], *StructType.fromDDL(COLUMNS).fields]))
+    return src.transform(_io.arrow_map, run, StructType([src.schema["doc_id"], *StructType.fromDDL(COLUMNS).fields]))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

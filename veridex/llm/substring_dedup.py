@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
@@ -68,7 +68,7 @@ def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 cols = r1[i:j][doc], text_hash(c, o)[doc], at - o[doc], n, key.view(np.int64), h.view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(again)], names=["r1", "r2", "p", "n", "key", "run", "again"])
 
-    return keyed(docs).mapInArrow(each, "r1 long, r2 long, p long, n long, key long, run long, again boolean")
+    return keyed(docs).transform(_io.arrow_map, each, "r1 long, r2 long, p long, n long, key long, run long, again boolean")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, extra: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, extra: str) -> DataFrame:
             h = [text_hash(c, o) for _, _, c, o in K.chunks(buf, off)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(h)), b.column(1)], names=["r1", "r2", "text"])
 
-    return keyed(docs).mapInArrow(hashed, "r1 long, r2 long, text string").join(places, ["r1", "r2"])
+    return keyed(docs).transform(_io.arrow_map, hashed, "r1 long, r2 long, text string").join(places, ["r1", "r2"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], extra: str) -> Iterator[tuple[list, bytes]]:
@@ -155,8 +155,8 @@ def in_shards(docs: DataFrame, wanted: DataFrame, length: int, shard_bytes: int
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r1[k], r2[k], p[k] + found[first] - to[k], size)], names=["r1", "r2", "p", "n"])
 
     tasks = wanted.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    cuts = _fetch(docs, wanted, "key").mapInArrow(cut, "r1 long, r2 long, p long, n long, key long, bytes binary")
-    return cuts.repartition(_io.partitions_for(tasks, 4 * shard_bytes), "key").sortWithinPartitions("key").mapInArrow(sort, "r1 long, r2 long, p long, n long")
+    cuts = _fetch(docs, wanted, "key").transform(_io.arrow_map, cut, "r1 long, r2 long, p long, n long, key long, bytes binary")
+    return cuts.repartition(_io.partitions_for(tasks, 4 * shard_bytes), "key").sortWithinPartitions("key").transform(_io.arrow_map, sort, "r1 long, r2 long, p long, n long")
 
 
 def by_window(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -169,7 +169,7 @@ def by_window(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             h = [K.span_hash(K.prefix_hash(own, t), at, at + length).view(np.int64) for t in _RUN]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r1)), pa.array(np.full(n, r2)), pa.array(p + at), *map(pa.array, h)], names=["r1", "r2", "p", "h1", "h2"])
 
-    each = _io.materialize(_fetch(docs, wanted, "key").mapInArrow(cut, "r1 long, r2 long, p long, h1 long, h2 long"), "windows")
+    each = _io.materialize(_fetch(docs, wanted, "key").transform(_io.arrow_map, cut, "r1 long, r2 long, p long, h1 long, h2 long"), "windows")
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1")
     return each.join(twice, ["h1", "h2"]).select("r1", "r2", "p", F.lit(1).cast("long").alias("n"))
 
@@ -194,8 +194,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     return every.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
 
 
-def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs, with _spans (removed byte ranges, half open) and _kept (the bytes that remain)."""
+def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """docs, with _spans (removed byte ranges, half open) and _kept (the bytes
+    that remain; as_text: their whole characters)."""
     schema = docs.schema
     at = docs.columns.index("text")
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -207,7 +208,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFram
             h = [text_hash(c, o) for _, _, c, o in K.chunks(buf, off)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(h))], names=[*b.schema.names, "r2"])
 
-    with_hash = src.mapInArrow(hashed, StructType([*src.schema.fields, StructField("r2", LongType())]))
+    with_hash = src.transform(_io.arrow_map, hashed, StructType([*src.schema.fields, StructField("r2", LongType())]))
     joined = with_hash.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select(*names, "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -221,11 +222,12 @@ def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFram
                 removed.append([{"start": x, "end": y} for x, y in cuts])
                 rest = [text[x:y].tobytes() for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(text)], strict=True)]
                 kept.append(b"".join(rest))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(removed, span), pa.array(kept, pa.binary())], names=[*names, "_spans", "_kept"])
+            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(removed, span), left], names=[*names, "_spans", "_kept"])
 
     pair = StructType([StructField("start", LongType()), StructField("end", LongType())])
     fields = [joined.schema[c] for c in names]
-    out = joined.mapInArrow(cut, StructType([*fields, StructField("_spans", ArrayType(pair)), StructField("_kept", BinaryType())]))
+    out = joined.transform(_io.arrow_map, cut, StructType([*fields, StructField("_spans", ArrayType(pair)), StructField("_kept", StringType() if as_text else BinaryType())]))
     return out.toDF(*schema.names, "_spans", "_kept")
 
 
@@ -251,15 +253,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(docs).select("doc_id", n.alias("n_bytes"), (n - F.octet_length("_kept")).alias("n_removed"), F.size("_spans").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-def valid_utf8(name: str) -> Column:
-    """The column's bytes as text, without bytes of characters cut in part."""
-    return F.pandas_udf(lambda kept: kept.map(lambda b: b.decode("utf-8", "ignore")), StringType())(F.col(name))
-
-
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated substrings cut out (a character cut in
     part goes whole) and n_chars counted anew; those of which nothing is left go."""
-    out = dedup(docs).withColumn("_kept", valid_utf8("_kept"))
+    out = cut_out(docs, repeated_spans(docs), as_text=True)
     text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.col("_kept"))
     cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.where((F.size("_spans") == 0) | (F.length("_kept") > 0)).select(*cols)

@@ -221,7 +221,7 @@ def featurize(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], rows, pa.array(np.concatenate(n), pa.int64())], names=[*keep, "features", "n_hits"])
 
     fields = [src.schema[c] for c in keep]
-    return src.mapInArrow(run, StructType([*fields, StructField("features", ArrayType(DoubleType())), StructField("n_hits", LongType())]))
+    return src.transform(_io.arrow_map, run, StructType([*fields, StructField("features", ArrayType(DoubleType())), StructField("n_hits", LongType())]))
 
 
 def learn_lexicon(docs: DataFrame, support: int = SUPPORT, ratio: float = LEAST_RATIO, share: float = LEAST_SHARE) -> tuple[list[str], list[float], list[float]]:
@@ -252,7 +252,7 @@ def learn_lexicon(docs: DataFrame, support: int = SUPPORT, ratio: float = LEAST_
             yield pa.RecordBatch.from_arrays([pa.array(k[hit]), b.column(1).filter(pa.array(hit)), b.column(2).filter(pa.array(hit))], names=["k", "a", "t"])
 
     # a row for each term at most
-    around = counts.mapInArrow(near, "k int, a bigint, t bigint").groupBy("k").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).toPandas().set_index("k")
+    around = counts.transform(_io.arrow_map, near, "k int, a bigint, t bigint").groupBy("k").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).toPandas().set_index("k")
     _io.discard(counts)
     toxic = np.zeros((len(terms), 2))
     toxic[around.index] = around[["a", "t"]].to_numpy(float)
