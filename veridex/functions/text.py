@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 LEAST_QUOTE, ID_HEX, ID_SEPARATOR = 20, 16, "|"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalize(s: Column) -> Column:
     """Lower case, apostrophes deleted, everything but letters and digits to single blanks."""
     plain = F.regexp_replace(F.lower(s), "['’]", "")
@@ -19,11 +26,16 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(normalize(s), " "), lambda t: t != "")
 
 
+def grams(t: Column, k: int) -> Column:
+    """All runs of k of an array's words, joined by blanks; none for shorter arrays."""
+    none = F.array().cast("array<string>")
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
+    return let(t, lambda t: F.when(F.size(t) >= k, runs(t)).otherwise(none))
+
+
 def shingles(s: Column, k: int = 3) -> Column:
     """Distinct runs of k tokens; none for shorter texts."""
-    t = tokens(s)
-    last = F.size(t) - k + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(k)), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(grams(tokens(s), k))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -43,12 +55,12 @@ def hash_id(prefix: str, *parts: Column) -> Column:
 
 def sentences(s: Column) -> Column:
     """Spans ended by . ? ! and white space, or by line breaks; trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(s, r"(?<=[.?!])\s+|\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, r"(?<=[.?!])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numeric_segments(s: Column) -> Column:
     """Segments at . ! ? and ; that aren't inside a number."""
-    return F.filter(F.transform(F.split(s, r"(?<!\d)\.|\.(?!\d)|[!?;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, r"(?<!\d)\.|\.(?!\d)|[!?;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def stem(token: Column) -> Column:

@@ -453,10 +453,9 @@ asked AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[''
 def passage_survives(spark, d):
     """Passages in documents, word for word: a hash of a passage's first four words is the join's key, so nothing is crossed."""
     norm = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t"))
-    head = lambda t, i: F.array_join(F.slice(t, i, F.lit(4)), " ")
-    asked = norm(A.table(spark, d, "benchmark"), "item_id").where(F.size("t") >= 4).select("item_id", F.array_join("t", " ").alias("p"), head(F.col("t"), F.lit(1)).alias("k"))
+    asked = norm(A.table(spark, d, "benchmark"), "item_id").where(F.size("t") >= 4).select("item_id", F.array_join("t", " ").alias("p"), F.array_join(F.slice("t", F.lit(1), F.lit(4)), " ").alias("k"))
     docs = norm(A.table(spark, d, "documents"), "doc_id").where(F.size("t") >= 4)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 3), lambda i: F.xxhash64(head(F.col("t"), i))))
+    grams = F.array_distinct(F.transform(T.grams(F.col("t"), 4), lambda g: F.xxhash64(g)))
     keys = asked.select(F.xxhash64("k").alias("k")).distinct()
     hits = docs.select("doc_id", F.explode(grams).alias("k")).join(keys, "k").select("doc_id", "k")
     cand = hits.join(asked.select("item_id", "p", F.xxhash64("k").alias("k")), "k").select("doc_id", "item_id", "p")
@@ -592,14 +591,14 @@ def corrected_draft(spark, d):
 EDGES = "edges AS (SELECT DISTINCT event_id % 500 AS source, (event_id * 7 + 3) % 500 AS target, CASE event_id % 5 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'derived_from' WHEN 2 THEN 'assumes' WHEN 3 THEN 'calculated_from' ELSE 'qualifies' END AS kind FROM events WHERE event_id < 900)"
 
 
-@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT * FROM edges WHERE kind <> 'qualifies' AND source <> target), reach AS (SELECT 5 AS id, 0 AS depth UNION SELECT e.source, depth + 1 FROM reach JOIN e ON e.target = reach.id WHERE depth < 60),
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT * FROM edges WHERE kind <> 'qualifies' AND source <> target), reach AS (SELECT range AS id, 0 AS depth FROM range(20) UNION SELECT e.source, depth + 1 FROM reach JOIN e ON e.target = reach.id WHERE depth < 60),
 found AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)
 SELECT f.id, CAST(f.depth AS BIGINT) AS depth, (SELECT arg_min(e.kind || ' ' || e.target, lpad(CAST(e.target AS VARCHAR), 9, '0') || e.kind) FROM e JOIN found p ON p.id = e.target AND p.depth = f.depth - 1 WHERE e.source = f.id) AS reason FROM found f WHERE f.depth > 0""")
 def dependency_reevaluation(spark, d):
     n = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, (*G.FOUNDATIONAL[:3], "calculated_from", "qualifies"))), (n % 5 + 1).cast("int"))
     e = A.table(spark, d, "events").where(n < 900).select((n % 500).alias("source"), ((n * 7 + 3) % 500).alias("target"), kind.alias("kind"))
-    out = G.reevaluate(spark.range(5, 6), e)
+    out = G.reevaluate(spark.range(20), e)
     return out.withColumn("depth", F.col("depth").cast("bigint"))
 
 
