@@ -4,11 +4,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from veridex.operators import citation as C
 from veridex.operators import evidence as E
 from veridex.operators import graph as G
 from veridex.operators import ledger as L
 from veridex.operators import lineage as LN
+from veridex.operators import mapper as M
+from veridex.operators import receipt as R
 from veridex.operators import storage as S
+from veridex.sources.search import FixtureSearch
 from veridex.streaming import ledger_stream as ST
 
 AT = dt.datetime(2024, 1, 1)
@@ -117,3 +121,47 @@ def test_stream(spark, tmp_path):
     assert {r.action_id: r.last_seq for r in got.collect()}["a"] >= 2
     bad = ST.run_available(ST.illegal(ST.tail(spark, folder).where("action_id = 'b'")), "illegal_now", "append", str(tmp_path / "c2"))
     assert [(r.action_id, r.event) for r in bad.collect()] == [("b", "CALLED")]
+
+
+def test_citations_and_receipts(spark):
+    assert C.folded("“Ａ—b”  c") == '"a-b" c'
+    df = spark.createDataFrame([("the net loss was –5 percent", "x The  net loss was -5 percent."), ("too few words", "too few words"), ("the net loss was 5 percent", "the net loss was -5 percent")], "e string, c string")
+    assert [r.x for r in df.select(C.strictly_verbatim(F.col("e"), F.col("c")).alias("x")).collect()] == [True, False, False]
+    good = (True, True, True, True, False, False)
+    rows = [("direct_support", *good), ("direct_support", True, True, True, True, True, False), ("direct_contradiction", True, True, False, True, False, False), ("partial_support", False, True, True, True, False, False), ("direct_support", True, True, True, True, True, True)]
+    f = spark.createDataFrame(rows, "relation string, " + ", ".join(f"{x} boolean" for x in C.FACETS))
+    assert [r.x for r in f.select(C.adjusted(F.col("relation")).alias("x")).collect()] == ["direct_support", "partial_support", "context_only", "irrelevant", "qualification"]
+    assert R.canonical({"b": 1.0, "a": [None, True, "é"], "c": 0.1, "d": 1e-7, "f": 1e-6, "e": 1e21}) == '{"a":[null,true,"é"],"b":1,"c":0.1,"d":1e-7,"e":1e+21,"f":0.000001}'
+    sealed = R.sealed(spark.createDataFrame([(1, '{"a": 1, "b": 2}'), (2, '{"x": 0}')], "k int, body string"))
+    assert not R.tampered(sealed).count()
+    changed = sealed.withColumn("body", F.when(F.col("k") == 1, '{"b":2, "a": 1}').otherwise('{"x": 1}'))
+    assert [r.k for r in R.tampered(changed).collect()] == [2]
+
+
+def test_receipt_rules(spark):
+    import hashlib
+
+    h = hashlib.sha256(b"q").hexdigest()
+    ev = spark.createDataFrame([(1, 10, 5, "supports", "q", h), (2, 10, 6, "contradicts", "q", "bad"), (3, 99, 5, "supports", "q", h)], "id long, claim_id long, source_id long, stance string, excerpt string, excerpt_hash string")
+    v = spark.createDataFrame([(10, "supported", [2], [], False), (11, "contradicted", [], [], True), (12, "disputed", [1], [1], False)], "claim_id long, verdict string, supporting array<long>, contradicting array<long>, numeric_disproof boolean")
+    src = spark.createDataFrame([(5, h)], "id long, content_hash string")
+    got = {(r.rule, r.subject) for r in R.rule_violations(v, ev, src).collect()}
+    assert got == {("unknown_claim", "3"), ("unknown_source", "2"), ("changed_excerpt", "2"), ("wrong_side", "10"), ("wrong_side", "12"), ("both_sides", "12")}
+
+
+def test_claims(spark):
+    docs = spark.createDataFrame([(1, "This is the first sentence. Short. This is the first sentence. And here is another one!")], "k int, document string")
+    c = M.sentence_claims(docs, "k")
+    assert sorted((r.start, r.end) for r in c.collect()) == [(0, 27), (63, 87)]
+    assert not M.invalid_claims(c, docs, "k").count()
+    bad = spark.createDataFrame([(1, "a", "This", 0, 4), (1, "b", "x", 2, 5), (1, "c", "y", 80, 900)], "k int, claim_id string, text string, start int, end int")
+    assert {(r.claim_id, r.rule) for r in M.invalid_claims(bad, docs, "k").collect()} == {("b", "text"), ("b", "overlap"), ("c", "span")}
+
+
+def test_search_source(spark):
+    import json
+
+    spark.dataSource.register(FixtureSearch)
+    results = {"q": [{"title": "a", "url": "http://a/", "snippet": "s"}, {"title": "b", "url": "http://b/"}], "none": []}
+    got = spark.read.format("fixture_search").option("results", json.dumps(results)).option("limit", "1").load().collect()
+    assert [tuple(r) for r in got] == [("q", 1, "a", "http://a/", "s")]

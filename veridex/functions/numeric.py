@@ -65,3 +65,9 @@ def direction(text: Column) -> Column:
     """increase, decrease or unknown, from the words of a claim."""
     says = lambda words: text.rlike(rf"(?i)(?<![A-Za-z0-9_])({'|'.join(words)})(?![A-Za-z0-9_])")
     return F.when(says(UP) & ~says(DOWN), "increase").when(says(DOWN) & ~says(UP), "decrease").otherwise("unknown")
+
+
+def numbers(text: Column) -> Column:
+    """The numbers of a text, in order: thousands separators, decimals, exponents and signs taken in."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.])([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
+    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))

@@ -20,11 +20,6 @@ PREFERRED_BY_TYPE = {
     "numeric": ("primary", "gov", "academic"), "event": ("primary", "news", "gov"), "causal": ("academic", "primary"), "definitional": ("encyclopedia", "academic", "gov"),
     "quote": ("primary", "news"), "prediction": ("academic", "news"), "existence": ("primary", "news", "encyclopedia"), "comparison": ("primary", "academic", "news"), "general": ("news", "encyclopedia"),
 }
-#: Relation of a citation to (stance, relevance).
-RELATIONS = {
-    "directly_supports": ("supports", "strong"), "partially_supports": ("supports", "weak"), "directly_contradicts": ("contradicts", "strong"),
-    "partially_contradicts": ("contradicts", "weak"), "qualifies": ("qualifies", "weak"),
-}
 #: Mode: least independent origins, most iterations, most sources.
 BUDGETS = {"quick": (1, 1, 4), "deep": (2, 2, 8), "high_stakes": (3, 3, 12)}
 

@@ -15,12 +15,16 @@ from ..functions import html as H
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import citation as C
 from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import lineage as LN
+from ..operators import mapper as M
+from ..operators import receipt as R
 from ..operators import storage as S
 from ..sources import adapters as A
+from ..streaming import ledger_stream as ST
 
 FLAGSHIP = "ledger_action_state"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,3 +662,104 @@ def result_parity(spark, d):
 @query("SELECT event_id, 100 + row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
 def sequence_assignment(spark, d):
     return S.next_sequence(A.table(spark, d, "events").select("event_id", "ts"), 100, ["ts", "event_id"]).select("event_id", "seq")
+
+
+# ---- citations, receipts, streams ------------------------------------------------
+
+FACETED = """made AS (SELECT event_id, ['direct_support', 'partial_support', 'qualification', 'direct_contradiction', 'context_only', 'irrelevant'][event_id % 6 + 1] AS relation,
+  event_id % 11 <> 0 AS e, event_id % 13 <> 0 AS m, event_id % 5 <> 0 AS p, event_id % 7 <> 0 AS o, event_id % 4 = 0 AS st, event_id % 3 = 0 AS q FROM events),
+adjusted AS (SELECT event_id, relation, CASE WHEN NOT e OR NOT m THEN 'irrelevant' WHEN (NOT p OR NOT o) AND relation IN ('direct_support', 'partial_support') THEN 'qualification'
+  WHEN (NOT p OR NOT o) AND relation = 'direct_contradiction' THEN 'context_only' WHEN relation IN ('direct_support', 'partial_support') AND q THEN 'qualification'
+  WHEN relation = 'direct_support' AND st THEN 'partial_support' ELSE relation END AS final FROM made)"""
+
+
+@query(f"""WITH {FACETED} SELECT event_id, relation, final, CASE final WHEN 'direct_support' THEN 'supports' WHEN 'partial_support' THEN 'supports' WHEN 'qualification' THEN 'qualifies' WHEN 'direct_contradiction' THEN 'contradicts' END AS stance,
+  CASE WHEN final IN ('direct_support', 'direct_contradiction') THEN 'strong' WHEN final IN ('partial_support', 'qualification') THEN 'weak' END AS relevance FROM adjusted""")
+def citation_relations(spark, d):
+    n = F.col("event_id")
+    names = ("direct_support", "partial_support", "qualification", "direct_contradiction", "context_only", "irrelevant")
+    facets = dict(zip(C.FACETS, (n % 11 != 0, n % 13 != 0, n % 5 != 0, n % 7 != 0, n % 4 == 0, n % 3 == 0), strict=True))
+    e = A.table(spark, d, "events").select("event_id").withColumns({"relation": F.element_at(F.array(*map(F.lit, names)), (n % 6 + 1).cast("int")), **facets})
+    e = e.withColumn("final", C.adjusted(F.col("relation"))).withColumn("s", C.stance(F.col("final")))
+    return e.select("event_id", "relation", "final", F.col("s.stance").alias("stance"), F.col("s.relevance").alias("relevance"))
+
+
+@query(f"""WITH {EVIDENCE}, r AS (SELECT e.claim_id, source_id, stance, relevance, CASE WHEN verdict IN ('contradicted', 'outdated') THEN CASE stance WHEN 'contradicts' THEN 0 WHEN 'qualifies' THEN 2 ELSE 4 END
+  WHEN verdict = 'supported_with_qualifications' THEN CASE stance WHEN 'qualifies' THEN 0 WHEN 'supports' THEN 2 ELSE 4 END ELSE CASE stance WHEN 'supports' THEN 0 WHEN 'contradicts' THEN 2 ELSE 4 END END
+  + CASE WHEN relevance = 'strong' THEN 0 ELSE 1 END AS score FROM evidence e JOIN judged j ON e.claim_id = j.claim_id)
+SELECT claim_id, source_id, row_number() OVER (PARTITION BY claim_id ORDER BY score, source_id) AS place FROM r""")
+def evidence_ranking(spark, d):
+    v = E.arbitrate(_facts(spark, d)).select("claim_id", "verdict")
+    return C.ranked(A.evidence(spark, d).join(v, "claim_id")).select("claim_id", "source_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query(f"""WITH {URL}, found AS (SELECT page_id % 20 AS claim_id, page_id, url, canonical FROM urls WHERE regexp_matches(url, '(?i)^https?://[^/?#]+')),
+firsts AS (SELECT claim_id, canonical, min(page_id) AS page_id FROM found GROUP BY 1, 2), placed AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY page_id) AS place FROM firsts)
+SELECT claim_id, canonical, place, 'src_' || substr(sha256(p.url || '|' || sha256(p.html)), 1, 16) AS source_id FROM placed JOIN pages p USING (page_id) WHERE place <= 4 AND page_id % 10 <> 3""")
+def retrieved_sources(spark, d):
+    """Pages stand for results of 20 claims and for what is fetched; every tenth comes with a wrong hash."""
+    p = A.table(spark, d, "pages")
+    results = p.select((F.col("page_id") % 20).alias("claim_id"), F.lit(0).alias("query_no"), F.col("page_id").alias("rank"), "url", F.lit("").alias("title"))
+    pages = p.groupBy("url").agg(F.min_by("html", "page_id").alias("text"), F.min("page_id").alias("page_id")).withColumn("content_hash", F.when(F.col("page_id") % 10 == 3, "x").otherwise(F.sha2("text", 256)))
+    return C.retrieved(results, pages, 4).select("claim_id", "canonical", F.col("place").cast("bigint").alias("place"), "source_id")
+
+
+@query("""SELECT o_custkey AS id, arg_min(o_orderstatus, o_orderkey) AS title, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS retrievals, count(DISTINCT o_orderstatus) > 1 AS divergent FROM orders GROUP BY 1""")
+def merged_sources(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderstatus").alias("title"), F.col("o_orderstatus").alias("content_hash"), F.col("o_orderpriority").alias("retrieval"))
+    return C.merged(o).withColumn("retrievals", F.array_join("retrievals", "|"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(lower(regexp_replace(substr(text, 11, 60), '\s+', ' ', 'g')), '[\p{L}\p{N}]+')) >= 4 AS strict FROM documents WHERE length(text) > 100 AND NOT regexp_matches(text, '[ﬀ-ﬆ½²³…´¨]')""")
+def verbatim_strict(spark, d):
+    t = A.table(spark, d, "documents").where((F.length("text") > 100) & ~F.col("text").rlike("[ﬀ-ﬆ½²³…´¨]"))
+    return t.select("doc_id", C.strictly_verbatim(F.substring("text", 11, 60), F.replace("text", F.lit(" "), F.lit("  "))).alias("strict"))
+
+
+@query("""SELECT event_id, '{"a":' || (event_id % 7) || ',"id":' || event_id || ',"type":"' || event_type || '"}' AS canonical, sha256('{"a":' || (event_id % 7) || ',"id":' || event_id || ',"type":"' || event_type || '"}') AS receipt_hash FROM events""")
+def receipt_hash(spark, d):
+    """Bodies with their keys in another order, blanks, and whole numbers as doubles."""
+    body = F.concat(F.lit('{ "type": "'), F.col("event_type"), F.lit('", "id": '), F.col("event_id").cast("string"), F.lit('.0, "a" : '), (F.col("event_id") % 7).cast("string"), F.lit(" }"))
+    return R.sealed(A.table(spark, d, "events").select("event_id", body.alias("body"))).drop("body")
+
+
+@query(f"""WITH {EVIDENCE} SELECT 'unknown_source' AS rule, CAST(source_id AS VARCHAR) AS subject FROM evidence WHERE source_id % 9 = 0
+UNION ALL SELECT 'changed_excerpt', CAST(source_id AS VARCHAR) FROM evidence WHERE source_id % 11 = 0
+UNION ALL SELECT 'lacking_evidence', CAST(claim_id AS VARCHAR) FROM facts WHERE claim_id % 3 = 0 AND n_supports = 0 OR claim_id % 3 = 1 AND (n_supports = 0 OR n_contradicts = 0) OR claim_id % 3 = 2 AND n_contradicts = 0""")
+def receipt_rules(spark, d):
+    kinds = F.when(F.col("claim_id") % 3 == 0, "supported").when(F.col("claim_id") % 3 == 1, "disputed").otherwise("contradicted")
+    ids = lambda s: F.collect_list(F.when(F.col("stance") == s, F.col("source_id")))
+    e = A.evidence(spark, d)
+    v = A.claims(spark).select("claim_id").join(e.groupBy("claim_id").agg(ids("supports").alias("supporting"), ids("contradicts").alias("contradicting")), "claim_id", "left")
+    empty = F.array().cast("array<bigint>")
+    v = v.select("claim_id", kinds.alias("verdict"), F.coalesce("supporting", empty).alias("supporting"), F.coalesce("contradicting", empty).alias("contradicting"), F.lit(False).alias("numeric_disproof"))
+    hashed = F.sha2(F.col("source_id").cast("string"), 256)
+    e = e.select(F.col("source_id").alias("id"), "claim_id", "source_id", "stance", F.col("source_id").cast("string").alias("excerpt"), F.when(F.col("source_id") % 11 == 0, "0").otherwise(hashed).alias("excerpt_hash"))
+    s = A.table(spark, d, "documents").where("doc_id % 9 <> 0").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return R.rule_violations(v, e, s)
+
+
+@query(f"WITH {LEDGER} SELECT action_id, arg_max(event, seq) AS state, max(seq) AS last_seq, count(*) FILTER (WHERE event = 'CALLED') AS attempts FROM ledger GROUP BY action_id")
+def stream_running_state(spark, d):
+    """The same fold, over the ledger's rows read as a stream's batch: streaming/ledger_stream runs it incrementally."""
+    return ST.running_state(ST.once(A.ledger(spark, d)))
+
+
+CLAIMED = r"""said AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.?!])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: length(s) >= 20)[1:12] AS s FROM documents),
+located AS (SELECT DISTINCT doc_id, q, strpos(text, q) - 1 AS start FROM (SELECT doc_id, text, unnest(s) AS q FROM said))"""
+
+
+@query(f"WITH {CLAIMED} SELECT doc_id, start, start + length(q) AS finish, 'claim_' || substr(sha256(q), 1, 16) AS claim_id FROM located WHERE start >= 0")
+def mapped_claims(spark, d):
+    """Sentences as claims: the first twelve of 20 characters at least, at their first place, each once."""
+    docs = A.table(spark, d, "documents").select("doc_id", F.col("text").alias("document"))
+    return M.sentence_claims(docs, "doc_id").select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("finish"), "claim_id")
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, 'was ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' units, up ' || CAST(CAST(l_tax * 100 AS INTEGER) AS VARCHAR) || '.5 percent from 1,200' AS t, l_quantity AS q, round(l_tax * 100) AS x FROM lineitem)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(q + CAST(CAST(x AS INTEGER) || '.5' AS DOUBLE) + 1200, 6) AS total, 3::BIGINT AS n, 'increase' AS direction FROM w""")
+def number_extraction(spark, d):
+    t = A.table(spark, d, "lineitem")
+    said = F.concat(F.lit("was "), F.col("l_quantity").cast("int").cast("string"), F.lit(" units, up "), F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit(".5 percent from 1,200"))
+    n = t.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), said.alias("said")).withColumn("v", N.numbers(F.col("said")))
+    return n.select("l_orderkey", "l_linenumber", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("v").cast("bigint").alias("n"), N.direction(F.col("said")).alias("direction"))
