@@ -57,7 +57,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Arrow batches are kept small, so that a few very long texts or wide rows don't fill an executor.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -1,6 +1,6 @@
 """Vectorised text kernels over Arrow string buffers.
 
-Everything here works on UTF-8 bytes in numpy, on chunks of about one
+Everything here works on UTF-8 bytes in numpy, on chunks of about a quarter of a
 megabyte, so a worker's memory doesn't grow with a batch. One document is
 never divided: a very long one makes a chunk of its own.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Low bits of a sketch key that hold a position; the rest holds the hash.
 POS_BITS = np.uint64(26)
 POS_MASK = np.uint64((1 << 26) - 1)
