@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 FOUNDATIONAL = ("depends_on", "derived_from", "assumes", "calculated_from")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder, which a lost executor doesn't take away."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -26,7 +26,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     Labels hook to the least label around them and then jump to their label's
     label, so the number of rounds is about the logarithm of the longest chain.
     """
-    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select("id", F.col("id").alias("root"))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
@@ -34,7 +34,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
         told = hooked.groupBy(F.col("root").alias("id")).agg(F.min("new").alias("told"))
         stepped = hooked.join(told, "id", "left").select("id", "root", F.least("new", F.coalesce("told", "new")).alias("new"))
         jump = stepped.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        after = _kept(stepped.join(jump, "new", "left").select("id", "root", F.least("new", F.coalesce("further", "new")).alias("new")))
+        after = kept(stepped.join(jump, "new", "left").select("id", "root", F.least("new", F.coalesce("further", "new")).alias("new")))
         labels = after.select("id", F.col("new").alias("root"))
         if not after.where("new <> root").limit(1).count():
             return labels
@@ -54,8 +54,8 @@ def reevaluate(failed: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Da
     for depth in range(1, most_rounds + 1):
         found = front.select(F.col("id").alias("target")).join(e, "target").groupBy(F.col("source").alias("id")).agg(F.min(F.struct("target", "kind")).alias("by"))
         fresh = found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.concat(F.col("by.kind"), F.lit(" "), F.col("by.target").cast("string")).alias("reason"))
-        front = _kept(fresh)
+        front = kept(fresh)
         if not front.limit(1).count():
             break
-        seen = _kept(seen.unionByName(front))
+        seen = kept(seen.unionByName(front))
     return seen.where("depth > 0")
