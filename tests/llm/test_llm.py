@@ -296,6 +296,20 @@ def test_near_duplicates_against_all_pairs(spark):
     assert mine == {i: find(i) for i in sh}
 
 
+def test_family_around_one_base(spark):
+    """Variants of one base resemble it, but hardly each other; so none may go unmet in a hot bucket."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(0, " ".join(base), "en", "s")]
+    for v in range(1, 301):
+        t = list(base)
+        for at in rng.sample(range(300), 4):
+            t[at] = f"x{v}y{at}"
+        rows.append((v, " ".join(t), "en", "s"))
+    members, _ = near_dup.classify(docs(spark, rows))
+    assert collections.Counter(r["class"] for r in members.collect()) == {0: 301}
+
+
 def test_alignment_keeps_order():
     a = np.arange(1, 101, dtype=np.uint64)
     assert near_dup.similarity(a, a) == 1.0

@@ -5,12 +5,16 @@
 2. A content has `m` signatures: the `ell` smallest occurrence-numbered
    five-word k-mers under a hash function, in text order.
 3. Contents of an equal signature form a bucket; those that also share the next
-   signature, and the next two, form finer ones in it. Each member is a
-   candidate with the first and the last content of each of its buckets. That
-   is at most 6 m candidates a member, whatever a bucket's size, and no pairs
-   within a bucket; the finer buckets bring those together that their bucket's
-   ends don't resemble. Candidates of fewer than `AGREEING` equal signatures
-   are left: at a similarity of 0.8 about 0.6 m are equal.
+   signature, and the next two, form finer ones in it. Each member is first a
+   candidate with the first and the last content of each of its buckets, which
+   joins most of a class at little cost. Then every pair of mates of a bucket
+   that are not in one class yet is a candidate, in rounds: a round takes as
+   leaders about `LEADERS` members of each bucket (then `GROWTH` times as many,
+   and so on, until all have been leaders) and pairs them with all mates of
+   other classes, and classes are joined between rounds. Mates already in one
+   class aren't paired, as no link can change it. Candidates of fewer than
+   `AGREEING` equal signatures are left: at a similarity of 0.8 about 0.6 m are
+   equal. Nor are those paired whose numbers of shingles rule out the threshold.
 4. A candidate is verified by banded alignment of the two sequences of numbered
    five-word shingles: similarity is aligned shingles over the union's, and 0.8
    or more makes a link. The band is exact: an alignment of that similarity
@@ -43,6 +47,7 @@ from . import _io
 from . import _kernel as K
 
 WORDS, M, ELL, THRESHOLD, AGREEING = 5, 20, 2, 0.8, 3
+LEADERS, GROWTH = 8, 16
 _TABLE = K.word_table()
 
 
@@ -122,12 +127,36 @@ def candidates(reps: DataFrame, agreeing: int = AGREEING) -> DataFrame:
     member = every.select("content", F.explode(keys).alias("bucket"))
     ends = member.groupBy("bucket").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high")
     found = member.join(ends, "bucket").select("content", F.explode(F.array("low", "high")).alias("other")).where("content <> other")
-    pairs = found.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct()
+    return agree(found.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct(), reps, agreeing)
+
+
+def agree(pairs: DataFrame, reps: DataFrame, agreeing: int = AGREEING) -> DataFrame:
+    """The pairs (a, b) of at least so many equal signatures."""
     side = lambda c, x: reps.select(F.col("content").alias(c), F.col("signatures").alias(x))
     equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(equal >= agreeing).select("a", "b")
 
 
+def open_buckets(reps: DataFrame, labels: DataFrame, above: int) -> DataFrame:
+    """(bucket, content, n_shingles, root, n, u) of members of buckets of n > above
+    members that aren't all in one class; u, from 0 to 1, is a member's turn to
+    lead. reps: (content, n_shingles, signatures); labels: (content, root)."""
+    every = reps.join(labels, "content").select("content", "n_shingles", "root", F.posexplode("signatures").alias("i", "sig"))
+    member = every.select(F.xxhash64("i", "sig").alias("bucket"), "content", "n_shingles", "root")
+    several = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    turn = F.xxhash64("bucket", "content").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    return member.join(several.where((F.col("low") != F.col("high")) & (F.col("n") > above)).select("bucket", "n"), "bucket").withColumn("u", turn)
+
+
+def mates(members: DataFrame, reps: DataFrame, above: int, most: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, of members of one bucket and different classes of which the
+    first in turn is among the bucket's first `most`, but not its first `above`, leaders."""
+    lead = members.where((F.col("u") * F.col("n") < most) & (F.col("u") * F.col("n") >= above)).select("bucket", F.col("content").alias("x"), F.col("root").alias("x_root"), F.col("n_shingles").alias("x_n"), F.col("u").alias("x_u"))
+    met = lead.join(members, "bucket").where((F.col("root") != F.col("x_root")) & ((F.col("u") > F.col("x_u")) | ((F.col("u") == F.col("x_u")) & (F.col("content") > F.col("x")))))
+    met = met.where(F.least("n_shingles", "x_n") >= F.greatest("n_shingles", "x_n") * F.lit(threshold - 1e-9))
+    return agree(met.select(F.least("x", "content").alias("a"), F.greatest("x", "content").alias("b")).distinct(), reps)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of pairs (a, b) of contents that reach the threshold. texts: (content, text)."""
     both = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
@@ -197,16 +226,35 @@ def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, m: int = M, ell: int = ELL, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, content, root, class) of every row, root
-    naming the class by a content; links (a, b, similarity) between contents."""
+    naming the class by a content; links (a, b, similarity) between contents,
+    enough of them to join each class."""
     rows = _io.materialize(sketches(docs, m, ell), "sketches")
-    reps = rows.groupBy("content").agg(F.first("signatures").alias("signatures")).where(F.size("signatures") > 0)
-    pairs = _io.materialize(candidates(reps), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    texts = texts_of(docs, rows, wanted)
-    links = _io.materialize(verify(pairs, texts, threshold), "links")
-    roots = components(links)
+    reps = rows.groupBy("content").agg(F.first("signatures").alias("signatures"), F.first("n_shingles").alias("n_shingles")).where(F.size("signatures") > 0)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+        return _io.materialize(verify(pairs, texts_of(docs, rows, wanted), threshold), "links")
+
+    tried = _io.materialize(candidates(reps), "candidates")
+    links = judged(tried)
+    roots = components(links).withColumnRenamed("node", "content")
+    labels = _io.materialize(reps.select("content").join(roots, "content", "left").select("content", F.coalesce("root", "content").alias("root")), "classes")
+    above, most = 0, LEADERS
+    while True:
+        members = _io.materialize(open_buckets(reps, labels, above), "open-buckets")
+        if not members.limit(1).count():
+            break
+        pairs = _io.materialize(mates(members, reps, above, most, threshold).join(tried, ["a", "b"], "left_anti"), "candidates")
+        _io.discard(members)
+        new = judged(pairs)
+        root = lambda c: labels.select(F.col("content").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+        joined = components(new.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        labels = _io.materialize(labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("content", F.coalesce("further", "root").alias("root")), "classes")
+        links, tried = links.unionByName(new), tried.unionByName(pairs)
+        above, most = most, most * GROWTH
+    roots = labels
     least = rows.groupBy("content").agg(F.min("doc_id").alias("least_id"))
-    classes = least.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    classes = least.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
     named = classes.groupBy("root").agg(F.min("least_id").alias("class"))
     members = rows.select("doc_id", "content").join(classes.select("content", "root").join(named, "root").select("content", "root", "class"), "content")
     return members.select("doc_id", "content", "root", "class"), links
