@@ -21,7 +21,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode_stage),
 ]
 
-#: SQL expresses neither the classifier nor the suffix arrays; tests/llm holds run() against a brute-force version.
+#: SQL expresses neither the classifier nor the suffix arrays; tests/llm holds near_duplicates and substrings against brute force, encode by round trips.
 ORACLE_SQL: str | None = None
 
 

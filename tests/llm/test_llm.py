@@ -381,6 +381,32 @@ def test_oracle(spark, name):
     assert sorted(map(str, df.select(*order).toPandas().to_numpy().tolist())) == sorted(map(str, want.df().to_numpy().tolist()))
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_substring_stage_cuts_passages_of_51_words(spark, odd, nothing, short):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghé", k=rng.randint(1, 2 if short else 9))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    there, longer, line = say(51), say(70), say(50)
+    texts_ = [f"{say(40)}\n{there} {say(30)}", f"{there} {say(80)}", f"{say(20)} {longer}", f"{longer}\n\n{say(20)} {line}", f"{line} {say(90)}", say(100), there, f"{say(60)} {longer[:200]}"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts_)]
+
+    def kept(t):  # brute force over all windows of 51 words; windows of 400 bytes lie in them here
+        spots = [m.span() for m in re.finditer(r"[^\t-\r ]+", t)]
+        gone = bytearray(len(t))
+        for i in range(len(spots) - 50):
+            if count[tuple(t[x:y] for x, y in spots[i : i + 51])] > 1:
+                gone[spots[i][0] : spots[i + 50][1]] = b"\1" * (spots[i + 50][1] - spots[i][0])
+        return "".join(c for c, g in zip(t, gone, strict=True) if not g)
+
+    count = collections.Counter(tuple(t.split()[i : i + 51]) for t in texts_ for i in range(len(t.split()) - 50))
+    want = {i: kept(t) for i, t in enumerate(texts_)}
+    assert all(there not in t for t in want.values()) and line in want[3] and line in want[4] and want[6] == ""
+    got = {r.doc_id: r for r in substring_dedup.substring_stage(spark, docs(spark, rows), SF).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: t for i, t in want.items() if t.strip()}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert substring_dedup.substring_stage(spark, nothing, SF).count() == 0
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline
 

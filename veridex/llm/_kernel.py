@@ -66,6 +66,13 @@ def prefix_hash(buf: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     return p
 
 
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """As prefix_hash, of 64-bit values."""
+    p = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values))[0][: len(values)], out=p[1:])
+    return p
+
+
 def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each span that depends on its bytes alone."""
     return mix((p[end] - p[start]) * powers(len(p))[1][start] + (end - start).astype(np.uint64) * _G)

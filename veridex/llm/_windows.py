@@ -13,16 +13,17 @@ import numpy as np
 from . import _kernel as K
 
 
-def run_keys(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def run_keys(buf: np.ndarray, off: np.ndarray, length: int, k: int, p: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first start within the chunk, number of starts, key) of each
     run of windows, and whether its least k-gram stands in it more than once,
-    without which no window of the run equals another of it."""
+    without which no window of the run equals another of it. Elements are bytes,
+    or whatever p is the prefix hash of (buf then gives their number only)."""
     size = np.diff(off)
     docs = np.flatnonzero(size >= length)
     none = np.zeros(0, np.int64)
     if not len(docs):
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
-    p = K.prefix_hash(buf)
+    p = K.prefix_hash(buf) if p is None else p
     n = len(buf) - k + 1
     inverse = K.powers(len(p))[1]
     g = K.mix((p[k:] - p[:n]) * inverse[:n])

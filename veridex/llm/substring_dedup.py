@@ -17,6 +17,13 @@ input. All is exact up to collisions of 128-bit hashes.
    is counted by its own hash instead, which Spark spreads over all tasks.
 4. Spans are gathered by document and cut out.
 
+The pipeline's stage also cuts out repeated passages of PASSAGE (51) words
+(runs of bytes other than ASCII blanks) or more, however short the words are: a
+word goes, and the blanks between it and its neighbours in the passage, if a
+string of PASSAGE words that covers it starts anywhere else too, blanks aside.
+Words take the place of bytes in step 1, and all windows of runs that need a
+closer look are counted by hash.
+
 Null text is empty. Rows of one id are told apart by their texts; equal rows
 repeat each other. Documents shorter than `length` never lose anything.
 """
@@ -38,6 +45,8 @@ from ._windows import run_keys
 from .suffix_array import repeated
 
 LENGTH, GRAM, SHARD_BYTES, MOST_RUNS = 400, 200, 1 << 20, 2000
+PASSAGE, PASSAGE_GRAM = 51, 25
+_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Never in UTF-8.
 END = 255
 _TEXT, _RUN = K.constants(256, 201), (K.constants(256, 202), K.constants(256, 203))
@@ -191,7 +200,65 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    return every.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
+    return gathered(every)
+
+
+def gathered(places: DataFrame) -> DataFrame:
+    return places.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
+
+
+def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(starts, ends, first word of each document and the total) of words, and two prefix hashes over them."""
+    s, e, first = K.spans(buf, off, _WORD)
+    one = K.span_hash(K.prefix_hash(buf, _TEXT), s, e) if len(s) else np.zeros(0, np.uint64)
+    two = K.span_hash(K.prefix_hash(buf, _RUN[0]), s, e) if len(s) else one
+    return s, e, first, [K.prefix_of(one), K.prefix_of(two)]
+
+
+def word_runs(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """As runs, in words: (r1, r2, p, n, key, run, again, start, end), the last two in bytes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r1 = b.column(0).to_numpy()
+            buf, off = K.utf8(b.column(1))
+            for i, j, c, o in K.chunks(buf, off, 1 << 18):
+                s, e, first, prefix = _words(c, o)
+                doc, at, n, key, again = run_keys(s, first, words, gram, prefix[0])
+                if not len(doc):
+                    continue
+                last = at + n + words - 1
+                h = K.span_hash(prefix[1], at, last)
+                cols = r1[i:j][doc], text_hash(c, o)[doc], at - first[doc], n, key.view(np.int64), h.view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(again), *(pa.array(x - o[doc], pa.int64()) for x in (s[at], e[last - 1]))], names=["r1", "r2", "p", "n", "key", "run", "again", "start", "end"])
+
+    return keyed(docs).transform(_io.arrow_map, each, "r1 long, r2 long, p long, n long, key long, run long, again boolean, start long, end long")
+
+
+def passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(r1, r2, start, end): repeated strings of `words` words or more, in bytes of their documents; several may overlap."""
+    place = F.min(F.struct("r1", "r2", "p", "n")).alias("at")
+    distinct = _io.materialize(word_runs(docs, words, gram).groupBy("key", "run").agg(F.count("*").alias("times"), F.max("again").alias("again"), place), "passages")
+    several = _io.materialize(distinct.where("times > 1").select("key", "run"), "passages-several")
+    open_keys = distinct.groupBy("key").agg(F.count("*").alias("n_runs"), F.min("times").alias("least"), F.max(F.col("again") & (F.col("times") == 1)).alias("again")).where("n_runs > 1 and least = 1 or again").select("key")
+    look = _io.materialize(distinct.join(open_keys, "key").select("key", "at.*"), "passages-to-look-at")
+    whole = _io.materialize(word_runs(docs, words, gram).join(several, ["key", "run"]).select("r1", "r2", "start", "end"), "passage-spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = K.utf8(b.column("text"))
+            for k, (r1, r2, places) in enumerate(zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), b.column("places").to_pylist(), strict=True)):
+                own = buf[off[k] : off[k + 1]]
+                s, e, _, prefix = _words(own, np.array([0, len(own)]))
+                at = np.concatenate([x["p"] + np.arange(x["n"]) for x in places])
+                h = [K.span_hash(x, at, at + words).view(np.int64) for x in prefix]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r1)), pa.array(np.full(len(at), r2)), pa.array(s[at]), pa.array(e[at + words - 1]), *map(pa.array, h)], names=["r1", "r2", "start", "end", "h1", "h2"])
+
+    each = _io.materialize(_fetch(docs, look, "key").transform(_io.arrow_map, cut, "r1 long, r2 long, start long, end long, h1 long, h2 long"), "passage-windows")
+    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1")
+    parts = _io.materialize(each.join(twice, ["h1", "h2"]).select("r1", "r2", "start", "end"), "passage-spans")
+    _io.discard(distinct, several, look, each)
+    return whole.unionByName(parts)
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
@@ -254,9 +321,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their repeated substrings cut out (a character cut in
-    part goes whole) and n_chars counted anew; those of which nothing is left go."""
-    out = cut_out(docs, repeated_spans(docs), as_text=True)
+    """Documents with their repeated passages of PASSAGE words or of LENGTH bytes
+    cut out (a character cut in part goes whole) and n_chars counted anew; those
+    of which nothing but blanks is left go."""
+    long = repeated_spans(docs).select("r1", "r2", F.explode("spans").alias("x")).select("r1", "r2", "x.p", "x.n")
+    said = passages(docs).select("r1", "r2", F.col("start").alias("p"), (F.col("end") - F.col("start") - (LENGTH - 1)).alias("n"))
+    out = cut_out(docs, gathered(long.unionByName(said)), as_text=True)
     text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.col("_kept"))
     cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.where((F.size("_spans") == 0) | (F.length("_kept") > 0)).select(*cols)
+    return out.where((F.size("_spans") == 0) | F.col("_kept").rlike(r"[^\t-\r ]")).select(*cols)
