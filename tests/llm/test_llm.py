@@ -138,6 +138,19 @@ def test_chroma_aligns_a_shifted_noisy_copy(spark):
     assert got[4].n_ints == 0 and len(got) == 7
 
 
+def test_chroma_aligns_copies_whose_seeds_are_all_common(spark):
+    """A hundred copies that differ in every sixth integer have pairs in common, but no run of six."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**31), 2**31, 60)
+    rows = []
+    for v in range(100):
+        x = base.copy()
+        x[::6] = rng.integers(-(2**31), 2**31, 10)
+        rows.append((v, x.tolist()))
+    got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, "id long, fingerprint array<int>"), "id").collect()}
+    assert got[0].n_links == got[50].n_links == 99 and got[0].best_shift == 0
+
+
 def test_integers_by_direct_sums():
     rng = np.random.default_rng(5)
     image = rng.random((20, 12))

@@ -12,9 +12,8 @@
 
 Recordings of one fingerprint are one class, and classes are searched, so
 copies are not paired; a query's links count all recordings of a class. Seeds
-are pairs of successive integers. A pair that stands in more than `MOST_SEED`
-classes (silence, hum) is looked up as part of runs of six instead; those are
-seeds for all recordings. Alignments need `LEAST_OVERLAP` places in common, or
+are pairs of successive integers, of all classes, however many share one
+(silence, hum). Alignments need `LEAST_OVERLAP` places in common, or
 all of the shorter recording.
 
 Null or empty media, and media shorter than all filters' reach, have no
@@ -35,7 +34,7 @@ from . import _io
 
 RATE, FRAME, HOP, LOWEST, OCTAVES = 11025, 4096, 1365, 65.4, 6
 SMOOTHING = (0.25, 0.75, 1.0, 0.75, 0.25)
-MAX_BIT_ERROR, MOST_SEED, LEAST_OVERLAP = 0.35, 64, 16
+MAX_BIT_ERROR, LEAST_OVERLAP = 0.35, 16
 REACH = 16
 #: (first frame, frames, first class, classes, kind): rectangles of the filters' images.
 FILTERS = tuple((0, 4 * (1 + k % 4), 3 * (k // 4) % 12, 2 + (k * 5) % 5, k % 3) for k in range(16))
@@ -112,18 +111,11 @@ def seeds(rows: DataFrame, run: int) -> DataFrame:
     return rows.where(F.size("fingerprint") >= run).select("class", F.posexplode(whole).alias("place", "seed"))
 
 
-def search(classes: DataFrame, asked: DataFrame, most_seed: int = MOST_SEED, max_error: float = MAX_BIT_ERROR) -> DataFrame:
+def search(classes: DataFrame, asked: DataFrame, max_error: float = MAX_BIT_ERROR) -> DataFrame:
     """(q, class, shift, votes, error) for every class that aligns with an asked
     one. classes: (class, fingerprint); asked: (class). A class aligns with itself."""
-    found = None
-    ask = classes.join(asked, "class", "left_semi")
-    for run, common in ((2, False), (6, True)):
-        mine, theirs = seeds(ask, run), seeds(classes, run)
-        if not common:
-            hot = theirs.groupBy("seed").agg(F.count_distinct("class").alias("n")).where(F.col("n") > most_seed).select("seed")
-            mine = mine.join(hot, "seed", "left_anti")
-        pairs = mine.select(F.col("class").alias("q"), F.col("place").alias("p"), "seed").join(theirs, "seed").select("q", "class", (F.col("place") - F.col("p")).alias("shift"))
-        found = pairs if found is None else found.unionByName(pairs)
+    mine, theirs = seeds(classes.join(asked, "class", "left_semi"), 2), seeds(classes, 2)
+    found = mine.select(F.col("class").alias("q"), F.col("place").alias("p"), "seed").join(theirs, "seed").select("q", "class", (F.col("place") - F.col("p")).alias("shift"))
     votes = found.groupBy("q", "class", "shift").agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "class").agg(F.min_by("shift", F.struct(-F.col("votes"), "shift")).alias("shift"), F.max("votes").alias("votes"))
     side = lambda c, f: classes.select(F.col("class").alias(c), F.col("fingerprint").alias(f))
