@@ -209,6 +209,10 @@ def test_pieces(odd, nothing):
     assert pieces.encode(nothing).count() == 0
 
 
+def test_parity_of_every_row(odd):
+    assert {r.parity for r in pieces.encode(odd).collect()} == {True}
+
+
 def test_unigram_model_is_rebuilt():
     piece = lambda p, s, k=1: (lambda body: b"\x0a" + bytes([len(body)]) + body)(b"\x0a" + bytes([len(p.encode())]) + p.encode() + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([k]))
     data = piece("<unk>", 0, 2) + piece("▁", -3) + piece("a", -2) + piece("b", -2.5) + piece("▁ab", -1) + piece("ab", -1.5) + b"\x12\x02\x18\x01" + b"\x1a\x04\x18\x01\x20\x00"
