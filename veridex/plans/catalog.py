@@ -602,7 +602,7 @@ SELECT f.id, CAST(f.depth AS BIGINT) AS depth, (SELECT arg_min(e.kind || ' ' ||
 def dependency_reevaluation(spark, d):
     n = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, (*G.FOUNDATIONAL[:3], "calculated_from", "qualifies"))), (n % 5 + 1).cast("int"))
-    e = A.table(spark, d, "events").where(n < 900).select((n % 500).alias("source"), ((n * 7 + 3) % 500).alias("target"), kind.alias("kind"))
+    e = A.table(spark, d, "events").select((n % 500).alias("source"), ((n * 7 + 3) % 500).alias("target"), kind.alias("kind")).distinct()
     out = G.reevaluate(spark.range(20), e)
     return out.withColumn("depth", F.col("depth").cast("bigint"))
 
