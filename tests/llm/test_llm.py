@@ -115,6 +115,12 @@ def test_mix_properties(odd, nothing):
     assert order.columns == odd.columns and order.count() == sum(r._passes for r in rows)
 
 
+def test_mix_query_is_sorted_by_position(spark):
+    rows = mixing.op2_curriculum_mix(spark, SF, rows_per_task=50).collect()
+    at = [(-1 if r.position is None else r.position, r.doc_id) for r in rows]
+    assert at == sorted(at) and len(rows) == 200
+
+
 def test_positions_invert_schedules(spark):
     for tilt in (-0.5, 0.0, 0.5):
         for u in (0.0, 0.1, 0.5, 0.9, 1.0):

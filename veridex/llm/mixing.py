@@ -109,8 +109,11 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: tuple[in
     )
 
 
-def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_io.table(spark, sf_dir, "documents")).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_position").alias("position"))
+def op2_curriculum_mix(spark: SparkSession, sf_dir: str, rows_per_task: int = 20_000) -> DataFrame:
+    """Every document, sorted by the training position of its first pass (those of which nothing is taken are first)."""
+    docs = _io.table(spark, sf_dir, "documents")
+    n = _io.partitions_for(docs.select("doc_id").count(), rows_per_task)
+    return mix(docs).repartitionByRange(n, "_position", "doc_id").sortWithinPartitions("_position", "doc_id").select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_position").alias("position"))
 
 
 def curriculum(docs: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
