@@ -333,6 +333,45 @@ def test_family_around_one_base(spark):
     assert collections.Counter(r["class"] for r in members.collect()) == {0: 301}
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_family_without_its_base(spark, block):
+    """Some variants resemble each other, most don't: classes are those of brute force, however buckets are dealt."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for v in range(150):
+        t = list(base)
+        for at in rng.sample(range(120), 2 + v % 2):
+            t[at] = f"x{v}y{at}"
+        rows.append((v, " ".join(t), "en", "s"))
+    sh = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t, _, _ in rows}
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sh[i] & sh[j]) >= 0.8 * len(sh[i] | sh[j]) and root[i] != root[j]:
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root = [a if x == b else x for x in root]
+    members, _ = near_dup.classify(docs(spark, rows), block=block)
+    assert {r.doc_id: r["class"] for r in members.collect()} == dict(enumerate(root))
+    assert 1 < len(set(root)) < 150
+
+
+def test_overlaps_in_parts():
+    rng = np.random.default_rng(13)
+    seqs = [rng.choice(300, rng.integers(0, 80), replace=False).astype(np.uint64) for _ in range(30)]
+    lead = [3, 0, 29]
+    for room in (1 << 22, 100):
+        got = near_dup.overlaps(seqs, np.array(lead), room)
+        assert all(got[k, j] == len(np.intersect1d(seqs[i], seqs[j])) for k, i in enumerate(lead) for j in range(30) if i != j)
+
+
+def test_very_long_documents_have_the_same_signatures(monkeypatch):
+    grams = K.Grams(np.frombuffer(b"a b c d e f g a b c d h i j", np.uint8), np.array([0, 5, 5, 27]), 3, K.word_table())
+    want = K.order_minhash(grams, 6, 4)
+    monkeypatch.setattr(K, "POS_MASK", 2)
+    assert K.order_minhash(grams, 6, 4).tolist() == want.tolist()
+
+
 def test_alignment_keeps_order():
     a = np.arange(1, 101, dtype=np.uint64)
     assert near_dup.similarity(a, a) == 1.0

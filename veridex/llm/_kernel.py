@@ -203,6 +203,13 @@ def order_minhash(grams: Grams, m: int, ell: int, seed: int = 5) -> np.ndarray:
     if not len(some):
         return out
     starts, h = grams.first[some], grams.hash
+    if len(h) > int(POS_MASK):  # places don't fit into POS_BITS: the same order, document by document
+        for i, c in enumerate(constants(m, seed)):
+            for d in some.tolist():
+                own = h[grams.first[d] : grams.first[d + 1]]
+                at = np.argsort((own * c) >> POS_BITS, kind="stable")[:ell]
+                out[d, i, :] = own[np.sort(np.append(at, np.repeat(at[-1:], ell - len(at))))]
+        return out
     pos = np.arange(len(h), dtype=np.uint64)
     key, a = np.empty_like(h), constants(m, seed)
     at = np.empty((ell, len(some)), np.uint64)

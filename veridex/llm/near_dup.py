@@ -3,34 +3,33 @@
 1. Texts that fold to the same words are one content; each goes on once, so
    copies are never paired.
 2. A content has `m` signatures: the `ell` smallest occurrence-numbered
-   five-word k-mers under a hash function, in text order.
-3. Contents of an equal signature form a bucket; those that also share the next
-   signature, and the next two, form finer ones in it. Each member is first a
-   candidate with the first and the last content of each of its buckets, which
-   joins most of a class at little cost. Then every pair of mates of a bucket
-   that are not in one class yet is a candidate, in rounds: a round takes as
-   leaders about `LEADERS` members of each bucket (then `GROWTH` times as many,
-   and so on, until all have been leaders) and pairs them with all mates of
-   other classes, and classes are joined between rounds. Mates already in one
-   class aren't paired, as no link can change it. Candidates of fewer than
-   `AGREEING` equal signatures are left: at a similarity of 0.8 about 0.6 m are
-   equal. Nor are those paired whose numbers of shingles rule out the threshold.
-4. A candidate is verified by banded alignment of the two sequences of numbered
+   five-word k-mers under a hash function, in text order. Two contents of
+   similarity 0.8 agree in one with 0.8**ell or so.
+3. Contents of an equal signature form a bucket. Each member is first paired
+   with the first and the last content of its buckets, which joins most of a
+   class at little cost.
+4. Then every pair of mates of a bucket that are not in one class yet is looked
+   at: members outside the bucket's largest class meet all members of other
+   classes, in cells of `BLOCK` by `BLOCK` members at most (and of about
+   BLOCK_SHINGLES shingles on a side). A cell's task counts all overlaps at once
+   and returns only the links that join classes, never the pairs.
+5. A candidate is verified by banded alignment of the two sequences of numbered
    five-word shingles: similarity is aligned shingles over the union's, and 0.8
    or more makes a link. The band is exact: an alignment of that similarity
    leaves a known number of shingles unmatched, and can't leave the band of so
    many diagonals.
-5. Connected components of the links are the classes, by min-label hooking and
+6. Connected components of the links are the classes, by min-label hooking and
    pointer jumping over tables in the shared folder.
 
 Buckets are made by aggregates and joins that Spark can split, never windows or
-lists, so a hot one needs no memory of its own.
+lists, and a hot one is dealt out in cells, so it needs no memory of its own.
 
 Words are runs of ASCII letters, digits, `_` and non-ASCII characters; ASCII
 case doesn't count. A text of 1 to 4 words has one shingle of all of them; texts
 without words are alike only if equal. Null text is empty text. Rows of one id
 are judged by their texts. A class is named by the least doc_id in it (null if
-it has none). An empty table gives no rows.
+it has none). Columns besides doc_id and text aren't read; the stage carries
+them, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,8 +45,8 @@ from pyspark.sql import functions as F
 from . import _io
 from . import _kernel as K
 
-WORDS, M, ELL, THRESHOLD, AGREEING = 5, 20, 2, 0.8, 3
-LEADERS, GROWTH = 8, 16
+WORDS, M, ELL, THRESHOLD = 5, 20, 4, 0.8
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _TABLE = K.word_table()
 
 
@@ -119,65 +118,126 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return got / (len(a) + len(b) - got) if len(a) + len(b) - 2 * got <= limit else 0.0
 
 
-def candidates(reps: DataFrame, agreeing: int = AGREEING) -> DataFrame:
-    """(a, b), a < b, of contents that are to be verified. reps: (content, signatures)."""
-    turn = lambda k: F.element_at("signatures", ((F.col("i") + k) % F.size("signatures") + 1).cast("int"))
-    every = reps.select("content", "signatures", F.posexplode("signatures").alias("i", "sig"))
-    keys = F.array(*[F.xxhash64("i", *[turn(k) for k in range(depth)]) for depth in (1, 2, 3)])
-    member = every.select("content", F.explode(keys).alias("bucket"))
-    ends = member.groupBy("bucket").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high")
-    found = member.join(ends, "bucket").select("content", F.explode(F.array("low", "high")).alias("other")).where("content <> other")
-    return agree(found.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct(), reps, agreeing)
+def buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, content, n_shingles, low, high) of members of buckets of several
+    contents; low and high are the bucket's ends. reps: (content, n_shingles, signatures)."""
+    every = reps.select("content", "n_shingles", F.posexplode("signatures").alias("i", "sig"))
+    member = every.select(F.xxhash64("i", "sig").alias("bucket"), "content", "n_shingles")
+    return member.join(member.groupBy("bucket").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high"), "bucket")
 
 
-def agree(pairs: DataFrame, reps: DataFrame, agreeing: int = AGREEING) -> DataFrame:
-    """The pairs (a, b) of at least so many equal signatures."""
-    side = lambda c, x: reps.select(F.col("content").alias(c), F.col("signatures").alias(x))
-    equal = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(equal >= agreeing).select("a", "b")
+def end_pairs(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member with the ends of its buckets."""
+    met = members.select("content", F.explode(F.array("low", "high")).alias("other")).where("content <> other")
+    return met.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct()
 
 
-def open_buckets(reps: DataFrame, labels: DataFrame, above: int) -> DataFrame:
-    """(bucket, content, n_shingles, root, n, u) of members of buckets of n > above
-    members that aren't all in one class; u, from 0 to 1, is a member's turn to
-    lead. reps: (content, n_shingles, signatures); labels: (content, root)."""
-    every = reps.join(labels, "content").select("content", "n_shingles", "root", F.posexplode("signatures").alias("i", "sig"))
-    member = every.select(F.xxhash64("i", "sig").alias("bucket"), "content", "n_shingles", "root")
-    several = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    turn = F.xxhash64("bucket", "content").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    return member.join(several.where((F.col("low") != F.col("high")) & (F.col("n") > above)).select("bucket", "n"), "bucket").withColumn("u", turn)
+def verify(pairs: DataFrame, sequences: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) of contents that reach the threshold. sequences: (content, grams)."""
+    side = lambda c, x: sequences.select(F.col("content").alias(c), F.col("grams").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([similarity(p, q, threshold) for p, q in zip(_grams_of(b.column(2)), _grams_of(b.column(3)), strict=True)], float)
+            keep = pa.array(got >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(got[got >= threshold])], names=["a", "b", "similarity"])
 
-def mates(members: DataFrame, reps: DataFrame, above: int, most: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b, of members of one bucket and different classes of which the
-    first in turn is among the bucket's first `most`, but not its first `above`, leaders."""
-    lead = members.where((F.col("u") * F.col("n") < most) & (F.col("u") * F.col("n") >= above)).select("bucket", F.col("content").alias("x"), F.col("root").alias("x_root"), F.col("n_shingles").alias("x_n"), F.col("u").alias("x_u"))
-    met = lead.join(members, "bucket").where((F.col("root") != F.col("x_root")) & ((F.col("u") > F.col("x_u")) | ((F.col("u") == F.col("x_u")) & (F.col("content") > F.col("x")))))
-    met = met.where(F.least("n_shingles", "x_n") >= F.greatest("n_shingles", "x_n") * F.lit(threshold - 1e-9))
-    return agree(met.select(F.least("x", "content").alias("a"), F.greatest("x", "content").alias("b")).distinct(), reps)
+    return both.transform(_io.arrow_map, run, "a binary, b binary, similarity double")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of contents that reach the threshold. texts: (content, text)."""
-    both = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+def _grams_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def overlaps(sequences: list[np.ndarray], lead: np.ndarray, room: int = 1 << 22) -> np.ndarray:
+    """(leaders, sequences): elements in common of each leader and each other sequence. Elements are distinct within a sequence."""
+    n = len(sequences)
+    _, code, count = np.unique(np.concatenate(sequences), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sequences])
+    shared = count[code] > 1
+    column = np.cumsum(count > 1) - 1  # numbers of the elements that several have
+    row, code = row[shared], column[code[shared]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(lead), n), np.float32)
+    width = max(1, room // n)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, (at, at + width))
+        has = np.zeros((n, min(width, int(code[-1]) + 1 - at)), np.float32)
+        has[row[lo:hi], code[lo:hi] - at] = 1
+        out += has[lead] @ has.T
+    return out
+
+
+def joining_links(contents: list[bytes], roots: list[bytes], sequences: list[np.ndarray], lead: np.ndarray, threshold: float) -> list[tuple[bytes, bytes, float]]:
+    """Links between leaders and others of different classes, enough to join every class that such links join."""
+    n = np.array([len(x) for x in sequences], float)
+    _, root = np.unique(np.array(roots, dtype="S"), return_inverse=True)
+    common = overlaps(sequences, lead)
+    wanted = (common >= (n[lead][:, None] + n[None, :] - common) * (threshold - 1e-9)) & (root[lead][:, None] != root[None, :])
+    parent = np.arange(int(root.max()) + 1).tolist()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(wanted)), strict=True):
+        p, q = find(root[lead[i]]), find(root[j])
+        if p != q and (got := similarity(sequences[lead[i]], sequences[j], threshold)):
+            parent[max(p, q)] = min(p, q)
+            out.append((contents[lead[i]], contents[j], got))
+    return out
+
+
+def cells(members: DataFrame, labels: DataFrame, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(cell, content, root, lead): what each task compares. members: (bucket, content, n_shingles); labels: (content, root)."""
+    own = members.select("bucket", "content", "n_shingles").join(labels, "content")
+    by_root = own.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    most = F.max(F.struct("n", "root", "s"))
+    shape = by_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), most.alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    parts = lambda n, s: F.greatest(F.ceil(n / block), F.ceil(s / block_shingles))
+    shape = shape.select("bucket", F.col("most.root").alias("main"), parts(F.col("n"), F.col("s")).alias("across"), parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("down"))
+    dealt = own.join(shape, "bucket").withColumn("lead", F.col("root") != F.col("main"))
+    turn = F.xxhash64("content", F.lit(3))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    rows = dealt.select("bucket", "content", "root", "lead", F.pmod(turn, F.col("down")).alias("r"), F.pmod(turn, F.col("across")).alias("c"), "down", "across")
+    # a leader goes to all cells of its row; all others (leaders too, where there are several rows) to all cells of their column
+    as_lead = rows.where("lead").select("bucket", "content", "root", "lead", "r", F.explode(upto(F.col("across"))).alias("c"))
+    as_mate = rows.where("not lead or down > 1").select("bucket", "content", "root", F.lit(False).alias("lead"), F.explode(upto(F.col("down"))).alias("r"), "c")
+    return as_lead.unionByName(as_mate).select(F.xxhash64("bucket", "r", "c").alias("cell"), "content", "root", "lead")
+
+
+def mates(members: DataFrame, labels: DataFrame, sequences: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity): links between mates of a bucket, enough to join all classes that any pair of mates joins."""
+    rows = cells(members, labels, block).join(sequences, "content").select("cell", "content", "root", "lead", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = [K.utf8(b.column(k)) for k in (2, 3)]
-            out = np.zeros(b.num_rows)
-            at = 0
-            size = np.diff(sides[0][1]) + np.diff(sides[1][1])
-            while at < b.num_rows:
-                end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), K.CHUNK_BYTES)) + at)
-                grams = [K.Grams(buf[off[at] : off[end]], off[at : end + 1] - off[at], WORDS, _TABLE) for buf, off in sides]
-                for k in range(end - at):
-                    p, q = (g.hash[g.first[k] : g.first[k + 1]] for g in grams)
-                    out[at + k] = similarity(p, q, threshold)
-                at = end
-            keep = pa.array(out >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(out[out >= threshold])], names=["a", "b", "similarity"])
-
-    return both.transform(_io.arrow_map, run, "a binary, b binary, similarity double")
+        held: list[pa.RecordBatch] = []
+        for b in batches:  # sorted by cell
+            of = b.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                if held and hi > lo and held[0].column(0)[0].as_py() != of[lo]:
+                    yield from cell(held)
+                    held = []
+                held += [b.slice(lo, hi - lo)] * (hi > lo)
+        if held:
+            yield from cell(held)
+
+    def cell(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        lead = np.flatnonzero(t.column("lead").to_numpy())
+        if len(lead) and t.num_rows > 1:
+            seqs = [x for c in t.column("grams").chunks for x in _grams_of(c)]
+            links = joining_links(t.column("content").to_pylist(), t.column("root").to_pylist(), seqs, lead, threshold)
+            if links:
+                a, b, got = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.binary()), pa.array(map(max, a, b), pa.binary()), pa.array(got)], names=["a", "b", "similarity"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").transform(_io.arrow_map, run, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -209,8 +269,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     return labels
 
 
-def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(content, text): one text of each content of `wanted`. rows: (doc_id, content)."""
+def sequences_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(content, grams): the numbered shingles, in text order, of each content of `wanted`. rows: (doc_id, content)."""
     who = rows.join(wanted, "content").groupBy("content").agg(F.min("doc_id").alias("id"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     found = docs.select("doc_id", text).join(who, F.col("doc_id").eqNullSafe(F.col("id"))).select("content", "text")
@@ -218,46 +278,39 @@ def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # an id may have other texts too
             buf, off = K.utf8(b.column(1))
-            is_own = [x for _, _, c, o in K.chunks(buf, off) for x in _content(c, o)[0]]
-            yield b.filter(pa.array([x == y for x, y in zip(is_own, b.column(0).to_pylist(), strict=True)]))
+            for i, j, c, o in K.chunks(buf, off):
+                content, grams = _content(c, o)
+                want = b.column(0).slice(i, j - i)
+                same = [k for k, (x, y) in enumerate(zip(content, want.to_pylist(), strict=True)) if x == y]
+                raw = [grams.hash[grams.first[k] : grams.first[k + 1]].tobytes() for k in same]
+                yield pa.RecordBatch.from_arrays([want.take(pa.array(same, pa.int64())), pa.array(raw, pa.binary())], names=["content", "grams"])
 
-    return found.transform(_io.arrow_map, own, "content binary, text string").dropDuplicates(["content"])
+    return found.transform(_io.arrow_map, own, "content binary, grams binary").dropDuplicates(["content"])
 
 
-def classify(docs: DataFrame, m: int = M, ell: int = ELL, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def classify(docs: DataFrame, m: int = M, ell: int = ELL, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (doc_id, content, root, class) of every row, root
     naming the class by a content; links (a, b, similarity) between contents,
     enough of them to join each class."""
     rows = _io.materialize(sketches(docs, m, ell), "sketches")
     reps = rows.groupBy("content").agg(F.first("signatures").alias("signatures"), F.first("n_shingles").alias("n_shingles")).where(F.size("signatures") > 0)
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-        return _io.materialize(verify(pairs, texts_of(docs, rows, wanted), threshold), "links")
-
-    tried = _io.materialize(candidates(reps), "candidates")
-    links = judged(tried)
-    roots = components(links).withColumnRenamed("node", "content")
-    labels = _io.materialize(reps.select("content").join(roots, "content", "left").select("content", F.coalesce("root", "content").alias("root")), "classes")
-    above, most = 0, LEADERS
-    while True:
-        members = _io.materialize(open_buckets(reps, labels, above), "open-buckets")
-        if not members.limit(1).count():
-            break
-        pairs = _io.materialize(mates(members, reps, above, most, threshold).join(tried, ["a", "b"], "left_anti"), "candidates")
-        _io.discard(members)
-        new = judged(pairs)
-        root = lambda c: labels.select(F.col("content").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        joined = components(new.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-        labels = _io.materialize(labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("content", F.coalesce("further", "root").alias("root")), "classes")
-        links, tried = links.unionByName(new), tried.unionByName(pairs)
-        above, most = most, most * GROWTH
-    roots = labels
+    in_buckets = _io.materialize(buckets(reps), "buckets")
+    wanted = in_buckets.select("content").distinct()
+    sequences = _io.materialize(sequences_of(docs, rows, wanted), "sequences")
+    first = _io.materialize(verify(end_pairs(in_buckets), sequences, threshold), "links")
+    joined = components(first).withColumnRenamed("node", "content")
+    labels = _io.materialize(wanted.join(joined, "content", "left").select("content", F.coalesce("root", "content").alias("root")), "classes")
+    second = _io.materialize(mates(in_buckets, labels, sequences, threshold, block), "links")
+    root = lambda c: labels.select(F.col("content").alias(c), F.col("root").alias(f"{c}_root"))
+    further = components(second.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    roots = labels.join(further.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("content", F.coalesce("further", "root").alias("root"))
     least = rows.groupBy("content").agg(F.min("doc_id").alias("least_id"))
     classes = least.join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
+    classes = _io.materialize(classes, "classes-named")
+    _io.discard(in_buckets, sequences, joined, labels, further)
     named = classes.groupBy("root").agg(F.min("least_id").alias("class"))
     members = rows.select("doc_id", "content").join(classes.select("content", "root").join(named, "root").select("content", "root", "class"), "content")
-    return members.select("doc_id", "content", "root", "class"), links
+    return members.select("doc_id", "content", "root", "class"), first.unionByName(second)
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
