@@ -2,35 +2,42 @@
 
 A byte goes if a string of `length` (400) bytes that covers it starts anywhere
 else too, in any document; strings don't cross documents, and are judged on the
-input. All is exact up to collisions of 128-bit hashes.
+input. All is exact up to collisions of hashes (64 bits among runs of one key,
+128 among windows of hot keys).
 
 1. Each document's windows of `length` bytes are put into runs by their least
    k-gram (see _windows); equal windows have one key. Runs of equal bytes are
    counted. A run that occurs twice is repeated as a whole.
 2. What is left are runs whose key occurs with other bytes too (ends of
-   passages, places of edits) or twice in the run itself (periodic text). Each distinct run of such a key is fetched once,
-   and runs are dealt by key into shards of about a megabyte. Each shard's
-   suffix array is made by induced sorting, and its permuted longest common
-   prefixes show which windows stand twice.
+   passages, places of edits) or twice in the run itself (periodic text). Each
+   distinct run of such a key is fetched once, and runs are dealt by key into
+   shards of about a megabyte. Each shard's suffix array is made by induced
+   sorting, and its permuted longest common prefixes show which windows stand
+   twice.
 3. A key of more than MOST_RUNS distinct runs (the edge of a passage that very
    many documents share) would need too large a shard: of such keys each window
    is counted by its own hash instead, which Spark spreads over all tasks.
 4. Spans are gathered by document and cut out.
 
-The pipeline's stage also cuts out repeated passages of PASSAGE (51) words
-(runs of bytes other than ASCII blanks) or more, however short the words are: a
-word goes, and the blanks between it and its neighbours in the passage, if a
-string of PASSAGE words that covers it starts anywhere else too, blanks aside.
-Words take the place of bytes in step 1, and all windows of runs that need a
-closer look are counted by hash.
+Besides, repeated passages of `words` (51) words or more are found, however
+short the words are: words are runs of bytes other than ASCII blanks, and take
+the place of bytes in step 1; all windows of runs that need a closer look are
+counted by hash, as in step 3. The query counts them in columns of their own;
+the pipeline's stage cuts them out with the rest.
+
+Each repeated window has a first place, by hash of doc_id, hash of text and
+position. The stage cuts out all places, but where nothing except blanks would
+be left of a document, its first places stay: a text whose every part stands
+elsewhere too is kept once.
 
 Null text is empty. Rows of one id are told apart by their texts; equal rows
-repeat each other. Documents shorter than `length` never lose anything.
+repeat each other (and share their first places). Documents shorter than
+`length` bytes and `words` words never lose anything. An empty table gives no
+rows. Other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,44 +52,64 @@ from ._windows import run_keys
 from .suffix_array import repeated
 
 LENGTH, GRAM, SHARD_BYTES, MOST_RUNS = 400, 200, 1 << 20, 2000
-PASSAGE, PASSAGE_GRAM = 51, 25
+PASSAGE, PASSAGE_GRAM = 51, 16
+BYTES, WORDS = 0, 1
 _WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Never in UTF-8.
 END = 255
-_TEXT, _RUN = K.constants(256, 201), (K.constants(256, 202), K.constants(256, 203))
+_RUN = K.constants(256, 202)
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def text_hash(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return K.span_hash(K.prefix_hash(buf, _TEXT), off[:-1], off[1:]).view(np.int64)
+    return K.span_hash(K.prefix_hash(buf), off[:-1], off[1:]).view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs' id as _r1 and text; with the text's hash, _r1 tells rows apart."""
-    return docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("_r1"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """docs' id as r1 and text; with the text's hash, r1 tells rows apart."""
+    return docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("r1"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
 
+def _words(buf: np.ndarray, off: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(starts, ends, first word of each document and the total) of words, and two prefix hashes over them."""
+    s, e, first = K.spans(buf, off, _WORD)
+    return s, e, first, [K.prefix_of(K.span_hash(x, s, e) if len(s) else np.zeros(0, np.uint64)) for x in (p, q)]
 
-def runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(r1, r2, p, n, key, run, again): the runs of windows of each document: n
-    windows from p on, a hash of their bytes, and whether windows may repeat within."""
+
+def runs(docs: DataFrame, length: int, gram: int, words: int, word_gram: int) -> DataFrame:
+    """The runs of windows of each document, in bytes and in words: (r1, r2, kind,
+    p, n, key, run, again, start, end), n windows from p on (in bytes or words),
+    a hash of all they cover, whether windows may repeat within, and the bytes they cover."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r1 = b.column(0).to_numpy()
             buf, off = K.utf8(b.column(1))
             for i, j, c, o in K.chunks(buf, off, 1 << 18):
-                doc, at, n, key, again = run_keys(c, o, length, gram)
-                if not len(doc):
-                    continue
-                h = K.span_hash(K.prefix_hash(c, _RUN[0]), at, at + n + length - 1)
-                cols = r1[i:j][doc], text_hash(c, o)[doc], at - o[doc], n, key.view(np.int64), h.view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(again)], names=["r1", "r2", "p", "n", "key", "run", "again"])
-
-    return keyed(docs).transform(_io.arrow_map, each, "r1 long, r2 long, p long, n long, key long, run long, again boolean")
-
-
-def _fetch(docs: DataFrame, wanted: DataFrame, extra: str) -> DataFrame:
-    """(r1, r2, p, n, extra, bytes) of wanted places; each document's places meet its text once."""
-    places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("p", "n", extra)).alias("places"))
+                p, q = K.prefix_hash(c), K.prefix_hash(c, _RUN)
+                r2 = K.span_hash(p, o[:-1], o[1:]).view(np.int64)
+                doc, at, n, key, again = run_keys(c, o, length, gram, p)
+                if len(doc):
+                    end = at + n + length - 1
+                    yield batch(r1[i:j][doc], r2[doc], BYTES, at - o[doc], n, key, K.span_hash(q, at, end), again, at - o[doc], end - o[doc])
+                s, e, first, prefix = _words(c, o, p, q)
+                doc, at, n, key, again = run_keys(s, first, words, word_gram, prefix[0])
+                if len(doc):
+                    last = at + n + words - 1
+                    yield batch(r1[i:j][doc], r2[doc], WORDS, at - first[doc], n, key ^ _SALT, K.span_hash(prefix[1], at, last), again, s[at] - o[doc], e[last - 1] - o[doc])
+
+    def batch(r1, r2, kind, p, n, key, run, again, start, end) -> pa.RecordBatch:
+        cols = r1, r2, np.full(len(r1), kind, np.int8), p, n, key.view(np.int64), run.view(np.int64), again, start, end
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["r1", "r2", "kind", "p", "n", "key", "run", "again", "start", "end"])
+
+    return keyed(docs).transform(_io.arrow_map, each, "r1 long, r2 long, kind byte, p long, n long, key long, run long, again boolean, start long, end long")
+
+
+def fetched(docs: DataFrame, look: DataFrame, length: int, words: int) -> DataFrame:
+    """What of the runs `look` (r1, r2, kind, p, n, key, hot) is to be looked at:
+    runs with their bytes, or (words, and hot keys) each window with two hashes.
+    (r1, r2, kind, key, start, end, n, bytes, h1, h2); each document's runs meet its text once."""
+    places = look.groupBy("r1", "r2").agg(F.collect_set(F.struct("kind", "p", "n", "key", "hot")).alias("places"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,35 +117,49 @@ def _fetch(docs: DataFrame, wanted: DataFrame, extra: str) -> DataFrame:
             h = [text_hash(c, o) for _, _, c, o in K.chunks(buf, off)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(h)), b.column(1)], names=["r1", "r2", "text"])
 
-    return keyed(docs).transform(_io.arrow_map, hashed, "r1 long, r2 long, text string").join(places, ["r1", "r2"])
+    schema = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            buf, off = K.utf8(b.column("text"))
+            for k, (r1, r2, own_places) in enumerate(zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), b.column("places").to_pylist(), strict=True)):
+                own = buf[off[k] : off[k + 1]]
+                whole = [x for x in own_places if x["kind"] == BYTES and not x["hot"]]
+                rows += [(r1, r2, x["key"], x["p"], x["p"] + x["n"] + length - 1, x["n"], own[x["p"] : x["p"] + x["n"] + length - 1].tobytes()) for x in whole]
+                if len(rows) >= 4096:
+                    yield pack(rows)
+                    rows = []
+                if len(whole) == len(own_places):
+                    continue
+                p, q = K.prefix_hash(own), K.prefix_hash(own, _RUN)
+                hot = [x["p"] + np.arange(x["n"]) for x in own_places if x["kind"] == BYTES and x["hot"]]
+                if hot:
+                    at = np.concatenate(hot)
+                    yield windows(r1, r2, BYTES, at, at + length, [K.span_hash(x, at, at + length) for x in (p, q)])
+                said = [x["p"] + np.arange(x["n"]) for x in own_places if x["kind"] == WORDS]
+                if said:
+                    at = np.concatenate(said)
+                    s, e, _, prefix = _words(own, np.array([0, len(own)]), p, q)
+                    yield windows(r1, r2, WORDS, s[at], e[at + words - 1], [K.span_hash(x, at, at + words) ^ _SALT for x in prefix])
+        if rows:
+            yield pack(rows)
 
-def _slices(batches: Iterator[pa.RecordBatch], extra: str) -> Iterator[tuple[list, bytes]]:
-    for b in batches:
-        buf, off = K.utf8(b.column("text"))
-        for k, (r1, r2, places) in enumerate(zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), b.column("places").to_pylist(), strict=True)):
-            own = buf[off[k] : off[k + 1]]
-            for x in places:
-                yield [r1, r2, x["p"], x["n"], x[extra]], own[x["p"] :]
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        r1, r2, key, start, end, n, data = zip(*rows, strict=True)
+        m = len(rows)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t.type) for x, t in zip((r1, r2, [BYTES] * m, key, start, end, n, data), schema, strict=False)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
 
+    def windows(r1: int, r2: int, kind: int, start: np.ndarray, end: np.ndarray, h: list[np.ndarray]) -> pa.RecordBatch:
+        m = len(start)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, r1)), pa.array(np.full(m, r2)), pa.array(np.full(m, kind, np.int8)), pa.nulls(m, pa.int64()), pa.array(start), pa.array(end), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *(pa.array(x.view(np.int64)) for x in h)], schema=schema)
 
-def in_shards(docs: DataFrame, wanted: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(r1, r2, p, n): repeated windows among the runs `wanted` (r1, r2, p, n, key), found shard by shard."""
+    joined = keyed(docs).transform(_io.arrow_map, hashed, "r1 long, r2 long, text string").join(places, ["r1", "r2"])
+    return joined.transform(_io.arrow_map, cut, "r1 long, r2 long, kind byte, key long, start long, end long, n long, bytes binary, h1 long, h2 long")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = []
-        data: list[bytes] = []
-        for row, text in _slices(batches, "key"):
-            rows.append(row)
-            data.append(text[: row[3] + length - 1].tobytes())
-            if len(rows) == 4096:
-                yield pack(rows, data)
-                rows, data = [], []
-        if rows:
-            yield pack(rows, data)
 
-    def pack(rows: list[list], data: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), pa.array(data, pa.binary())], names=["r1", "r2", "p", "n", "key", "bytes"])
+def in_shards(cuts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(r1, r2, kind, start, end, first): repeated windows of `cuts` (r1, r2, key, start, n, bytes), found shard by shard."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -146,7 +187,7 @@ def in_shards(docs: DataFrame, wanted: DataFrame, length: int, shard_bytes: int
     def shard(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         buf, off = K.utf8(t.column("bytes"))
-        r1, r2, p, n = (t.column(x).to_numpy() for x in ("r1", "r2", "p", "n"))
+        r1, r2, p, n = (t.column(x).to_numpy() for x in ("r1", "r2", "start", "n"))
         count = len(n)
         to = off[:-1] + np.arange(count)  # an end mark after each run
         text = np.full(len(buf) + count, END, np.uint8)
@@ -154,120 +195,68 @@ def in_shards(docs: DataFrame, wanted: DataFrame, length: int, shard_bytes: int
         valid = np.zeros(len(text), np.int8)
         np.add.at(valid, to, 1)
         np.add.at(valid, to + n, -1)
-        found = np.flatnonzero(repeated(text, length, np.cumsum(valid, dtype=np.int8) > 0))
+        found, group = repeated(text, length, np.cumsum(valid, dtype=np.int8) > 0)
         if len(found):
             row = np.searchsorted(to, found, "right") - 1
-            new = np.concatenate([[True], (found[1:] != found[:-1] + 1) | (row[1:] != row[:-1])])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(found)))
-            k = row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r1[k], r2[k], p[k] + found[first] - to[k], size)], names=["r1", "r2", "p", "n"])
-
-    tasks = wanted.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    cuts = _fetch(docs, wanted, "key").transform(_io.arrow_map, cut, "r1 long, r2 long, p long, n long, key long, bytes binary")
-    return cuts.repartition(_io.partitions_for(tasks, 4 * shard_bytes), "key").sortWithinPartitions("key").transform(_io.arrow_map, sort, "r1 long, r2 long, p long, n long")
-
-
-def by_window(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """As in_shards, but each window is counted by a hash of its bytes: for keys of too many runs."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (r1, r2, p, n, key), text in _slices(batches, "key"):
-            own = text[: n + length - 1]
-            at = np.arange(n)
-            h = [K.span_hash(K.prefix_hash(own, t), at, at + length).view(np.int64) for t in _RUN]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r1)), pa.array(np.full(n, r2)), pa.array(p + at), *map(pa.array, h)], names=["r1", "r2", "p", "h1", "h2"])
-
-    each = _io.materialize(_fetch(docs, wanted, "key").transform(_io.arrow_map, cut, "r1 long, r2 long, p long, h1 long, h2 long"), "windows")
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1")
-    return each.join(twice, ["h1", "h2"]).select("r1", "r2", "p", F.lit(1).cast("long").alias("n"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS) -> DataFrame:
-    """(r1, r2, spans): of each document that has some, its repeated windows as (first start, number of starts)."""
-    place = F.min(F.struct("r1", "r2", "p", "n")).alias("at")
-    distinct = _io.materialize(runs(docs, length, gram).groupBy("key", "run").agg(F.count("*").alias("times"), F.max("again").alias("again"), place), "runs")
-    several = _io.materialize(distinct.where("times > 1").select("key", "run"), "runs-several")
+            order = np.lexsort((p, r2, r1))
+            differ = [(x[order][1:] != x[order][:-1]) for x in (r1, r2, p)]
+            rank = np.empty(count, np.int64)
+            rank[order] = np.concatenate([[0], np.cumsum(differ[0] | differ[1] | differ[2])])
+            place = rank[row] * (len(text) + 1) + found - to[row]
+            least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, place)
+            is_first = place == least[group]
+            new = np.concatenate([[True], (found[1:] != found[:-1] + 1) | (row[1:] != row[:-1]) | (is_first[1:] != is_first[:-1])])
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(found)))
+            k = row[begin]
+            start = p[k] + found[begin] - to[k]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r1[k], r2[k], np.zeros(len(k), np.int8), start, start + size + length - 1, is_first[begin])], names=["r1", "r2", "kind", "start", "end", "first"])
+
+    total = cuts.agg(F.sum("n") + F.count("*") * length).first()[0] or 0
+    return cuts.select("r1", "r2", "key", "start", "n", "bytes").repartition(_io.partitions_for(total, 4 * shard_bytes), "key").sortWithinPartitions("key").transform(_io.arrow_map, sort, "r1 long, r2 long, kind byte, start long, end long, first boolean")
+
+
+def by_window(cuts: DataFrame) -> DataFrame:
+    """As in_shards, of windows (r1, r2, kind, start, end, h1, h2) counted by their hashes."""
+    place = F.struct("r1", "r2", "start")
+    twice = cuts.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("least")).where("times > 1")
+    return cuts.join(twice, ["h1", "h2"]).select("r1", "r2", "kind", "start", "end", (place == F.col("least")).alias("first"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS, words: int = PASSAGE, word_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(r1, r2, spans) of each document that has some: (kind, start, end, first) of repeated strings of `length`
+    bytes or `words` words, in bytes; they may overlap. first: none of its windows stands at an earlier place,
+    as far as no other span of it says so."""
+    rows = _io.materialize(runs(docs, length, gram, words, word_gram), "runs")
+    distinct = _io.materialize(rows.groupBy("key", "run").agg(F.count("*").alias("times"), F.max("again").alias("again")), "runs-distinct")
     open_keys = distinct.groupBy("key").agg(F.count("*").alias("n_runs"), F.min("times").alias("least"), F.max(F.col("again") & (F.col("times") == 1)).alias("again")).where("n_runs > 1 and least = 1 or again").select("key", "n_runs")
-    look = _io.materialize(distinct.join(open_keys, "key").select("key", "n_runs", "at.*"), "runs-to-look-at")
-    _io.discard(distinct)
-    whole = _io.materialize(runs(docs, length, gram).join(several, ["key", "run"]).select("r1", "r2", "p", "n"), "spans")
-    parts = [whole, _io.materialize(in_shards(docs, look.where(F.col("n_runs") <= most_runs), length), "spans")]
-    hot = look.where(F.col("n_runs") > most_runs)
-    if hot.limit(1).count():
-        parts.append(_io.materialize(by_window(docs, hot, length), "spans"))
-    _io.discard(several, look)
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    return gathered(every)
-
-
-def gathered(places: DataFrame) -> DataFrame:
-    return places.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
-
-
-def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(starts, ends, first word of each document and the total) of words, and two prefix hashes over them."""
-    s, e, first = K.spans(buf, off, _WORD)
-    one = K.span_hash(K.prefix_hash(buf, _TEXT), s, e) if len(s) else np.zeros(0, np.uint64)
-    two = K.span_hash(K.prefix_hash(buf, _RUN[0]), s, e) if len(s) else one
-    return s, e, first, [K.prefix_of(one), K.prefix_of(two)]
-
-
-def word_runs(docs: DataFrame, words: int, gram: int) -> DataFrame:
-    """As runs, in words: (r1, r2, p, n, key, run, again, start, end), the last two in bytes."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r1 = b.column(0).to_numpy()
-            buf, off = K.utf8(b.column(1))
-            for i, j, c, o in K.chunks(buf, off, 1 << 18):
-                s, e, first, prefix = _words(c, o)
-                doc, at, n, key, again = run_keys(s, first, words, gram, prefix[0])
-                if not len(doc):
-                    continue
-                last = at + n + words - 1
-                h = K.span_hash(prefix[1], at, last)
-                cols = r1[i:j][doc], text_hash(c, o)[doc], at - first[doc], n, key.view(np.int64), h.view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(again), *(pa.array(x - o[doc], pa.int64()) for x in (s[at], e[last - 1]))], names=["r1", "r2", "p", "n", "key", "run", "again", "start", "end"])
-
-    return keyed(docs).transform(_io.arrow_map, each, "r1 long, r2 long, p long, n long, key long, run long, again boolean, start long, end long")
-
-
-def passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
-    """(r1, r2, start, end): repeated strings of `words` words or more, in bytes of their documents; several may overlap."""
-    place = F.min(F.struct("r1", "r2", "p", "n")).alias("at")
-    distinct = _io.materialize(word_runs(docs, words, gram).groupBy("key", "run").agg(F.count("*").alias("times"), F.max("again").alias("again"), place), "passages")
-    several = _io.materialize(distinct.where("times > 1").select("key", "run"), "passages-several")
-    open_keys = distinct.groupBy("key").agg(F.count("*").alias("n_runs"), F.min("times").alias("least"), F.max(F.col("again") & (F.col("times") == 1)).alias("again")).where("n_runs > 1 and least = 1 or again").select("key")
-    look = _io.materialize(distinct.join(open_keys, "key").select("key", "at.*"), "passages-to-look-at")
-    whole = _io.materialize(word_runs(docs, words, gram).join(several, ["key", "run"]).select("r1", "r2", "start", "end"), "passage-spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = K.utf8(b.column("text"))
-            for k, (r1, r2, places) in enumerate(zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), b.column("places").to_pylist(), strict=True)):
-                own = buf[off[k] : off[k + 1]]
-                s, e, _, prefix = _words(own, np.array([0, len(own)]))
-                at = np.concatenate([x["p"] + np.arange(x["n"]) for x in places])
-                h = [K.span_hash(x, at, at + words).view(np.int64) for x in prefix]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r1)), pa.array(np.full(len(at), r2)), pa.array(s[at]), pa.array(e[at + words - 1]), *map(pa.array, h)], names=["r1", "r2", "start", "end", "h1", "h2"])
-
-    each = _io.materialize(_fetch(docs, look, "key").transform(_io.arrow_map, cut, "r1 long, r2 long, start long, end long, h1 long, h2 long"), "passage-windows")
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1")
-    parts = _io.materialize(each.join(twice, ["h1", "h2"]).select("r1", "r2", "start", "end"), "passage-spans")
-    _io.discard(distinct, several, look, each)
-    return whole.unionByName(parts)
-
-
-def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """docs, with _spans (removed byte ranges, half open) and _kept (the bytes
-    that remain; as_text: their whole characters)."""
+    wanted = distinct.select("key", "run", "times").join(open_keys, "key", "left").where("times > 1 or n_runs is not null")
+    hits = _io.materialize(rows.drop("again").join(wanted, ["key", "run"]), "runs-wanted")
+    _io.discard(rows, distinct)
+    place = F.struct("r1", "r2", "p")
+    least = hits.where("times > 1").groupBy("key", "run").agg(F.min(place).alias("least"))
+    marked = hits.join(least, ["key", "run"], "left").withColumn("first", F.coalesce(place == F.col("least"), F.lit(True)))
+    whole = _io.materialize(marked.where("times > 1").select("r1", "r2", "kind", "start", "end", "first"), "spans")
+    look = marked.where("n_runs is not null and first").select("r1", "r2", "kind", "p", "n", "key", (F.col("n_runs") > most_runs).alias("hot"))
+    cuts = _io.materialize(fetched(docs, look, length, words), "runs-to-look-at")
+    _io.discard(hits)
+    parts = [_io.materialize(in_shards(cuts.where("bytes is not null"), length), "spans"), _io.materialize(by_window(cuts.where("bytes is null")), "spans")]
+    _io.discard(cuts)
+    every = whole.unionByName(parts[0]).unionByName(parts[1])
+    return every.groupBy("r1", "r2").agg(F.collect_set(F.struct("kind", "start", "end", "first")).alias("spans"))
+
+
+def cut_out(docs: DataFrame, spans: DataFrame, kinds: tuple[int, ...] = (BYTES,), as_text: bool = False) -> DataFrame:
+    """docs, with _spans (removed byte ranges, half open), _kept (the bytes that
+    remain; as_text: their whole characters, and of a document that would lose
+    all but blanks the first places stay) and _passages (byte ranges of repeated
+    passages of words, whether removed or not)."""
     schema = docs.schema
     at = docs.columns.index("text")
     names = [f"c{k}" for k in range(len(docs.columns))]
-    src = docs.toDF(*names).withColumn("r1", F.xxhash64(names[docs.columns.index("doc_id")], F.col(names[docs.columns.index("doc_id")]).isNull())).withColumn(names[at], F.col(names[at]).cast("string"))
+    id_name = names[docs.columns.index("doc_id")]
+    src = docs.toDF(*names).withColumn("r1", F.xxhash64(id_name, F.col(id_name).isNull())).withColumn(names[at], F.col(names[at]).cast("string"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,26 +265,34 @@ def cut_out(docs: DataFrame, spans: DataFrame, length: int = LENGTH, as_text: bo
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(h))], names=[*b.schema.names, "r2"])
 
     with_hash = src.transform(_io.arrow_map, hashed, StructType([*src.schema.fields, StructField("r2", LongType())]))
-    joined = with_hash.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select(*names, "spans")
+    joined = with_hash.join(spans, ["r1", "r2"], "left").select(*names, "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def without(text: np.ndarray, cuts: list[tuple[int, int]]) -> bytes:
+        return b"".join(text[x:y].tobytes() for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(text)], strict=True))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = K.utf8(b.column(at))
-            kept, removed = [], []
+            kept, removed, said = [], [], []
             for k, own in enumerate(b.column("spans").to_pylist()):
                 text = buf[off[k] : off[k + 1]]
-                cuts = merged([(x["p"], x["p"] + x["n"] + length - 1) for x in own or ()])
+                own = own or []
+                cuts = merged([(x["start"], x["end"]) for x in own if x["kind"] in kinds])
+                rest = without(text, cuts)
+                if as_text and cuts and not rest.strip(b"\t\n\v\f\r "):
+                    cuts = merged([(x["start"], x["end"]) for x in own if x["kind"] in kinds and not x["first"]])
+                    rest = without(text, cuts)
+                kept.append(rest)
                 removed.append([{"start": x, "end": y} for x, y in cuts])
-                rest = [text[x:y].tobytes() for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(text)], strict=True)]
-                kept.append(b"".join(rest))
+                said.append([{"start": x, "end": y} for x, y in merged([(x["start"], x["end"]) for x in own if x["kind"] == WORDS])])
             left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(removed, span), left], names=[*names, "_spans", "_kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(removed, span), left, pa.array(said, span)], names=[*names, "_spans", "_kept", "_passages"])
 
-    pair = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    pair = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     fields = [joined.schema[c] for c in names]
-    out = joined.transform(_io.arrow_map, cut, StructType([*fields, StructField("_spans", ArrayType(pair)), StructField("_kept", StringType() if as_text else BinaryType())]))
-    return out.toDF(*schema.names, "_spans", "_kept")
+    out = joined.transform(_io.arrow_map, cut, StructType([*fields, StructField("_spans", pair), StructField("_kept", StringType() if as_text else BinaryType()), StructField("_passages", pair)]))
+    return out.toDF(*schema.names, "_spans", "_kept", "_passages")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -309,24 +306,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS) -> DataFrame:
-    """docs (doc_id, text and others), with _spans and _kept."""
-    return cut_out(docs, repeated_spans(docs, length, gram, most_runs), length)
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS, words: int = PASSAGE, word_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """docs (doc_id, text and others), with _spans, _kept and _passages."""
+    return cut_out(docs, repeats(docs, length, gram, most_runs, words, word_gram))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the number and bytes of repeated passages of PASSAGE words (which it doesn't remove)."""
     docs = _io.table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
-    return dedup(docs).select("doc_id", n.alias("n_bytes"), (n - F.octet_length("_kept")).alias("n_removed"), F.size("_spans").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    in_passages = F.aggregate("_passages", F.lit(0).cast("bigint"), lambda acc, x: acc + x["end"] - x["start"])
+    return dedup(docs).select(
+        "doc_id", n.alias("n_bytes"), (n - F.octet_length("_kept")).alias("n_removed"), F.size("_spans").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+        F.size("_passages").cast("bigint").alias("n_passages"), in_passages.alias("n_passage_bytes"),
+    )
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated passages of PASSAGE words or of LENGTH bytes
-    cut out (a character cut in part goes whole) and n_chars counted anew; those
-    of which nothing but blanks is left go."""
-    long = repeated_spans(docs).select("r1", "r2", F.explode("spans").alias("x")).select("r1", "r2", "x.p", "x.n")
-    said = passages(docs).select("r1", "r2", F.col("start").alias("p"), (F.col("end") - F.col("start") - (LENGTH - 1)).alias("n"))
-    out = cut_out(docs, gathered(long.unionByName(said)), as_text=True)
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.col("_kept"))
-    cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.where((F.size("_spans") == 0) | F.col("_kept").rlike(r"[^\t-\r ]")).select(*cols)
+    cut out (a character cut in part goes whole) and n_chars counted anew. Of a
+    document that would lose all but blanks its first places stay; if it has
+    none, it goes, as all of it is kept in another."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: names[k] for k, c in enumerate(docs.columns)}
+    out = cut_out(docs, repeats(docs), (BYTES, WORDS), as_text=True).toDF(*names, "spans", "kept", "passages")
+    text = F.when(F.size("spans") == 0, F.col(at["text"])).otherwise(F.col("kept"))
+    cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(at[c]).alias(c) for c in docs.columns]
+    return out.where((F.size("spans") == 0) | F.col("kept").rlike(r"[^\t-\r ]")).select(*cols)

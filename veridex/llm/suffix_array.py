@@ -206,14 +206,16 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return plcp, phi
 
 
-def repeated(text: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
-    """True at each valid start of `length` bytes that start at another valid place too."""
-    out = np.zeros(len(text), bool)
-    if len(text) > length:
-        sa = of_bytes(text)
-        plcp, _ = permuted_lcp(text, sa)
-        group = np.cumsum(plcp[sa] < length)  # suffixes of one group share their first bytes
-        here = valid[sa]
-        shared = np.bincount(group[here], minlength=group[-1] + 1) > 1
-        out[sa[here & shared[group]]] = True
-    return out
+def repeated(text: np.ndarray, length: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The valid starts, in text order, of `length` bytes that start at another
+    valid place too, and a number for each that equal bytes share."""
+    if len(text) <= length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sa = of_bytes(text)
+    plcp, _ = permuted_lcp(text, sa)
+    group = np.cumsum(plcp[sa] < length)  # suffixes of one group share their first bytes
+    here = valid[sa]
+    shared = np.bincount(group[here], minlength=group[-1] + 1) > 1
+    use = here & shared[group]
+    order = np.argsort(sa[use])
+    return sa[use][order], group[use][order]
