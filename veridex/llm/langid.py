@@ -9,7 +9,9 @@ The model is fitted on a sample of labelled rows of about `max_train` (20,000)
 documents, chosen by a hash of doc_id, so it doesn't grow with the corpus.
 Every row is scored over its whole text. Null text, empty text and text without
 a letter get language `und` and score 0; so does every row if nothing is
-labelled. Ties go to the language that is first by code point.
+labelled. Ties go to the language that is first by code point. Rows are scored
+by themselves, so repeated rows give equal rows, and an empty table none. Other
+columns are carried; in `identify` a column named as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -173,7 +175,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """The documents whose language is known: those with a letter and a best language of at least `least`."""
+    """The documents whose language is known: those with a letter and a best
+    language of at least `least`. All columns are carried, whatever their names."""
     model = fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
-    found = identify(docs, model, "_lang", "_score")
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select(*docs.columns)
+    names = [f"c{k}" if c != "text" else c for k, c in enumerate(docs.columns)]
+    found = identify(docs.toDF(*names), model)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*names).toDF(*docs.columns)

@@ -79,13 +79,13 @@ def position(u: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, u).otherwise(root)
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: tuple[int, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS, share: float = SHARE, max_passes: int = MAX_PASSES) -> DataFrame:
-    """`carry` columns of every row of docs (doc_id, text, source), and _size,
+def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), named: tuple[str, str, str] = ("doc_id", "text", "source"), weights: tuple[int, ...] = WEIGHTS, tilts: tuple[float, ...] = TILTS, share: float = SHARE, max_passes: int = MAX_PASSES) -> DataFrame:
+    """`carry` columns of every row of docs (whose id, text and source are `named`), and _size,
     _source_size, _target, _taken, _passes (begun), _start (of the first pass,
     in words), _tilt and _position (of the first pass; null if nothing is taken)."""
-    plain = [c for c in carry if c != "text"]
-    sized = docs.select(*plain, *([F.col("text")] if "text" in carry else []), size_of(F.col("text")).alias("_size"), source_key(F.col("source")).alias("_source"), order_key(F.col("doc_id")).alias("_key"), F.col("doc_id").alias("_id"))
-    if "text" in carry:
+    of_id, of_text, of_source = (F.col(c) for c in named)
+    sized = docs.select(*carry, size_of(of_text).alias("_size"), source_key(of_source).alias("_source"), order_key(of_id).alias("_key"), of_id.alias("_id"))
+    if named[1] in carry:
         small = _io.materialize(sized.select("_size", "_source", F.substring("_key", 1, BUCKET_DIGITS).alias("_bucket")), "mix-sizes")
     else:
         sized = _io.materialize(sized, "mix-sizes")
@@ -118,15 +118,16 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str, rows_per_task: int = 20
 
 def curriculum(docs: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
     """The mix itself: a row for each pass over a document that the mix begins,
-    sorted by training position. A document of which nothing is taken goes."""
-    if not docs.columns or "doc_id" not in docs.columns:
-        raise ValueError("a column doc_id is needed")
-    m = mix(docs, tuple(docs.columns)).where(F.col("_passes") > 0)
+    sorted by training position. A document of which nothing is taken goes. All
+    columns are carried, whatever their names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    named = tuple(names[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
+    m = mix(docs.toDF(*names), tuple(names), named).where(F.col("_passes") > 0)
     each = m.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_passes") - 1)))
     u = F.least(F.lit(1.0), (F.col("_start") + F.col("_pass") * F.col("_source_size") + F.col("_size") / F.lit(2.0)) / F.col("_target"))
     at = each.withColumn("_at", position(u, F.col("_tilt")))
     n = _io.partitions_for(docs.select("doc_id").count(), rows_per_task)
-    return at.repartitionByRange(n, "_at", "doc_id").sortWithinPartitions("_at", "doc_id", "_pass").select(*docs.columns)
+    return at.repartitionByRange(n, "_at", named[0]).sortWithinPartitions("_at", named[0], "_pass").select(*names).toDF(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
