@@ -209,7 +209,7 @@ def test_pieces(odd, nothing):
     for k, t in enumerate(samples):
         if "▁" not in t:
             assert back[end[k] : end[k + 1]].tobytes().decode() == t
-    rows = pieces.encode(odd, verify_every=1)
+    rows = pieces.encode(odd)
     assert all(r.round_trip and r.parity is not False for r in rows.collect())
     assert sorted(r.text for r in pieces.decode(rows).collect()) == sorted(t for _, t in texts(odd))
     assert pieces.encode(nothing).count() == 0
@@ -219,6 +219,21 @@ def test_parity_of_every_row(odd):
     assert {r.parity for r in pieces.encode(odd).collect()} == {True}
 
 
+def test_parity_by_word_is_parity_of_texts():
+    with open(pieces.MODEL_PATH, "rb") as f:
+        c = pieces.Codec(f.read(), memo_words=300)
+    assert c.verified_by_word
+    rng = random.Random(16)
+    texts_ = ["".join(rng.choices(" ab▁é🙂\n漢\x00<>/s", k=rng.randint(0, 60))) for _ in range(400)]
+    for i in range(0, 400, 50):
+        ids, off, parity = c.encode_verified(texts_[i : i + 50])
+        assert parity.tolist() == c.verify(texts_[i : i + 50]) == [True] * 50
+    c.ids = [c.ids[0] + 1]  # a codec that is wrong, and says so
+    c.agrees = np.zeros(0, bool)
+    wrong = c.encode_verified(texts_[350:])[2].tolist()
+    assert wrong == [t == "" for t in texts_[350:]]
+
+
 def test_unigram_model_is_rebuilt():
     piece = lambda p, s, k=1: (lambda body: b"\x0a" + bytes([len(body)]) + body)(b"\x0a" + bytes([len(p.encode())]) + p.encode() + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([k]))
     data = piece("<unk>", 0, 2) + piece("▁", -3) + piece("a", -2) + piece("b", -2.5) + piece("▁ab", -1) + piece("ab", -1.5) + b"\x12\x02\x18\x01" + b"\x1a\x04\x18\x01\x20\x00"

@@ -3,7 +3,7 @@
 The model's protobuf is parsed here, field by field; normaliser, metaspace
 marker, scores (unigram) or merges in order of score (BPE), and byte fallback
 are rebuilt from it for the `tokenizers` library, which encodes batches with
-several threads. `verify` holds whole texts against the sentencepiece library.
+several threads.
 
 Where no piece of the model has a marker after another character (so no merge
 crosses from one word into the next), a text's words can be encoded apart: each
@@ -11,9 +11,17 @@ distinct word of a task is encoded once and looked up afterwards. The lookup is
 emptied at MEMO_WORDS words, so memory is bounded. Otherwise whole texts are
 encoded.
 
+Parity with the sentencepiece library is verified for every row. Where words
+are encoded apart and the normaliser only turns blanks into markers, each word
+is held against sentencepiece when it is learnt, and a row has parity if all its
+words have: sentencepiece, too, merges no further than a word. Other models'
+texts are held against it whole. `verify` compares whole texts with any model.
+
 Null text is empty text and has no ids. Text that the normaliser changes, or
 that has the marker U+2581 itself, doesn't decode to itself: `round_trip`, which
-is of the decoded ids and the text, says so.
+is of the decoded ids and the text, says so. Rows are encoded by themselves, so
+repeated rows give equal rows and an empty table none; merges of equal score go
+by the ids of their parts. Columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -171,16 +179,54 @@ class Codec:
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.at = [np.zeros(0, np.int32)], [0]
+        self.agrees = np.zeros(0, bool)
+
+    @cached_property
+    def peer(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.data)
+
+    @cached_property
+    def verified_by_word(self) -> bool:
+        s = self.spec
+        return self.by_word and s.dummy_prefix and not s.charsmap and not s.remove_extra
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of n + 1)."""
+        return self._encoded(texts)[:2]
+
+    def encode_verified(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode, and whether sentencepiece gives each text the same ids."""
+        if not self.verified_by_word:
+            ids, off = self.encode(texts)
+            return ids, off, np.array(self._same(texts, ids, off), bool)
+        ids, off, words, first = self._encoded(texts)
+        if len(self.agrees) < len(self.at) - 1:
+            self._verify_words()
+        wrong = np.concatenate([[0], np.cumsum(~self.agrees[words])])
+        return ids, off, wrong[first[1:]] == wrong[first[:-1]]
+
+    def _verify_words(self) -> None:
+        """Holds the words learnt since the last time against sentencepiece."""
+        known = len(self.agrees)
+        new = sorted((i, w) for w, i in self.memo.items() if i >= known)
+        ids, at = self.ids[0].tolist(), self.at
+        front = self.peer.encode("a")  # markers alone are held against what follows this: an empty text would get no marker
+        theirs = self.peer.encode(["a" + w.replace(MARK, " ") if w.strip(MARK) == "" else w.removeprefix(MARK).replace(MARK, " ") for _, w in new], num_threads=1)
+        ok = [w[0] == MARK and (front if w.strip(MARK) == "" else []) + ids[at[i] : at[i + 1]] == x for (i, w), x in zip(new, theirs, strict=True)]
+        self.agrees = np.concatenate([self.agrees, np.array(ok, bool)])
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of n + 1, known words of all texts, first word of each text and the total)."""
         t = self.tokenizer
         norm = [self.normalized(x) for x in texts]
         if not self.by_word:
             found = [e.ids for e in t.encode_batch_fast(norm, add_special_tokens=False)]
             off = np.zeros(len(found) + 1, np.int64)
             np.cumsum([len(x) for x in found], out=off[1:])
-            return np.array([i for x in found for i in x], np.int32), off
+            none = np.zeros(0, np.int64)
+            return np.array([i for x in found for i in x], np.int32), off, none, none
         words = [_SPLIT.findall(x) for x in norm]
         if len(self.memo) > self.memo_words:
             self._forget()
@@ -192,7 +238,8 @@ class Codec:
         w = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, sum(per_text))
         per_word = at[w + 1] - at[w]
         end = np.concatenate([[0], np.cumsum(per_word)])
-        return flat[ragged(at[w], per_word)], end[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
+        first = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)
+        return flat[ragged(at[w], per_word)], end[first], w, first
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words that aren't known yet. Those with a marker in front and
@@ -237,12 +284,10 @@ class Codec:
 
     def verify(self, texts: list[str]) -> list[bool]:
         """Whether sentencepiece itself gives the same ids."""
-        import sentencepiece
+        return self._same(texts, *self.encode(texts))
 
-        if not hasattr(self, "_peer"):
-            self._peer = sentencepiece.SentencePieceProcessor(model_proto=self.data)
-        ids, off = self.encode(texts)
-        return [ids[off[i] : off[i + 1]].tolist() == x for i, x in enumerate(self._peer.encode(texts, num_threads=1))]
+    def _same(self, texts: list[str], ids: np.ndarray, off: np.ndarray) -> list[bool]:
+        return [ids[off[i] : off[i + 1]].tolist() == x for i, x in enumerate(self.peer.encode(texts, num_threads=1))]
 
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -252,35 +297,27 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (end - size), size)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, verify_every: int = 1) -> DataFrame:
-    """(doc_id, ids, round_trip, parity) of every row; one map, no shuffle.
-    parity: against sentencepiece, for rows whose doc_id is divisible by
-    `verify_every` (null for others; 1: for all, also of a null doc_id; 0: for none)."""
+def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
+    """(doc_id, ids, round_trip, parity) of every row; one map, no shuffle."""
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
     with open(model_path, "rb") as f:
         data = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(data)  # the model's file: about half a megabyte
-    check = F.lit(True) if verify_every == 1 else F.coalesce(F.try_mod(F.col("doc_id"), F.lit(verify_every)) == 0, F.lit(False)) if verify_every else F.lit(False)
-    src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), check.alias("check"))
+    src = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         codec = Codec(shared.value)
         for b in batches:
             buf, off = K.utf8(b.column(1))
-            due = b.column(2).to_pylist()
             for i, j, c, o in K.chunks(buf, off, 1 << 20):  # a larger chunk has fewer new words each
                 raw = c.tobytes()
                 texts = [raw[x:y].decode() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-                ids, at = codec.encode(texts)
+                ids, at, parity = codec.encode_verified(texts)
                 back, end = codec.decode(ids, at)
                 back = back.tobytes()
                 same = [back[end[k] : end[k + 1]] == raw[o[k] : o[k + 1]] for k in range(j - i)]
-                asked = [k for k in range(j - i) if due[i + k]]
-                parity: list[bool | None] = [None] * (j - i)
-                for k, ok in zip(asked, codec.verify([texts[k] for k in asked]) if asked else [], strict=True):
-                    parity[k] = ok
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names=["doc_id", "ids", "round_trip", "parity"])
 
     return src.transform(_io.arrow_map, run, StructType([src.schema["doc_id"], StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType()), StructField("parity", BooleanType())]))
