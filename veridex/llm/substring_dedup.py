@@ -52,7 +52,7 @@ from ._windows import run_keys
 from .suffix_array import repeated
 
 LENGTH, GRAM, SHARD_BYTES, MOST_RUNS = 400, 200, 1 << 20, 2000
-PASSAGE, PASSAGE_GRAM = 51, 16
+PASSAGE, PASSAGE_GRAM = 51, 25
 BYTES, WORDS = 0, 1
 _WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Never in UTF-8.
@@ -79,7 +79,7 @@ def _words(buf: np.ndarray, off: np.ndarray, p: np.ndarray, q: np.ndarray) -> tu
 def runs(docs: DataFrame, length: int, gram: int, words: int, word_gram: int) -> DataFrame:
     """The runs of windows of each document, in bytes and in words: (r1, r2, kind,
     p, n, key, run, again, start, end), n windows from p on (in bytes or words),
-    a hash of all they cover, whether windows may repeat within, and the bytes they cover."""
+    a hash of all they cover, whether windows may repeat within, and (of words) the bytes they cover."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,7 +91,7 @@ def runs(docs: DataFrame, length: int, gram: int, words: int, word_gram: int) ->
                 doc, at, n, key, again = run_keys(c, o, length, gram, p)
                 if len(doc):
                     end = at + n + length - 1
-                    yield batch(r1[i:j][doc], r2[doc], BYTES, at - o[doc], n, key, K.span_hash(q, at, end), again, at - o[doc], end - o[doc])
+                    yield batch(r1[i:j][doc], r2[doc], BYTES, at - o[doc], n, key, K.span_hash(q, at, end), again, None, None)
                 s, e, first, prefix = _words(c, o, p, q)
                 doc, at, n, key, again = run_keys(s, first, words, word_gram, prefix[0])
                 if len(doc):
@@ -100,11 +100,26 @@ def runs(docs: DataFrame, length: int, gram: int, words: int, word_gram: int) ->
 
     def batch(r1, r2, kind, p, n, key, run, again, start, end) -> pa.RecordBatch:
         cols = r1, r2, np.full(len(r1), kind, np.int8), p, n, key.view(np.int64), run.view(np.int64), again, start, end
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["r1", "r2", "kind", "p", "n", "key", "run", "again", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(r1), pa.int64()) if x is None else pa.array(x) for x in cols], names=["r1", "r2", "kind", "p", "n", "key", "run", "again", "start", "end"])
 
     return keyed(docs).transform(_io.arrow_map, each, "r1 long, r2 long, kind byte, p long, n long, key long, run long, again boolean, start long, end long")
 
 
+def _structs(column: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(offsets of n + 1, fields) of a column of lists of structs; null is an empty list."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(size)]), [flat.field(x).to_numpy(zero_copy_only=False) for x in names]
+
+
+def _every(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i] .. start[i] + n[i] - 1 for all i in turn."""
+    total = np.cumsum(n)
+    return np.arange(int(total[-1]) if len(n) else 0) + np.repeat(start - (total - n), n)
+
+
 def fetched(docs: DataFrame, look: DataFrame, length: int, words: int) -> DataFrame:
     """What of the runs `look` (r1, r2, kind, p, n, key, hot) is to be looked at:
     runs with their bytes, or (words, and hot keys) each window with two hashes.
@@ -123,25 +138,28 @@ def fetched(docs: DataFrame, look: DataFrame, length: int, words: int) -> DataFr
         rows: list[tuple] = []
         for b in batches:
             buf, off = K.utf8(b.column("text"))
-            for k, (r1, r2, own_places) in enumerate(zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), b.column("places").to_pylist(), strict=True)):
-                own = buf[off[k] : off[k + 1]]
-                whole = [x for x in own_places if x["kind"] == BYTES and not x["hot"]]
-                rows += [(r1, r2, x["key"], x["p"], x["p"] + x["n"] + length - 1, x["n"], own[x["p"] : x["p"] + x["n"] + length - 1].tobytes()) for x in whole]
+            of, (kind, p, n, key, hot) = _structs(b.column("places"), ("kind", "p", "n", "key", "hot"))
+            for k, (r1, r2) in enumerate(zip(b.column("r1").to_pylist(), b.column("r2").to_pylist(), strict=True)):
+                own, at = buf[off[k] : off[k + 1]], slice(of[k], of[k + 1])
+                spread = (kind[at] == BYTES) & ~hot[at]
+                for x, m, name in zip(p[at][spread].tolist(), n[at][spread].tolist(), key[at][spread].tolist(), strict=True):
+                    rows.append((r1, r2, name, x, x + m + length - 1, m, own[x : x + m + length - 1].tobytes()))
                 if len(rows) >= 4096:
                     yield pack(rows)
                     rows = []
-                if len(whole) == len(own_places):
+                if spread.all():
                     continue
-                p, q = K.prefix_hash(own), K.prefix_hash(own, _RUN)
-                hot = [x["p"] + np.arange(x["n"]) for x in own_places if x["kind"] == BYTES and x["hot"]]
-                if hot:
-                    at = np.concatenate(hot)
-                    yield windows(r1, r2, BYTES, at, at + length, [K.span_hash(x, at, at + length) for x in (p, q)])
-                said = [x["p"] + np.arange(x["n"]) for x in own_places if x["kind"] == WORDS]
-                if said:
-                    at = np.concatenate(said)
-                    s, e, _, prefix = _words(own, np.array([0, len(own)]), p, q)
-                    yield windows(r1, r2, WORDS, s[at], e[at + words - 1], [K.span_hash(x, at, at + words) ^ _SALT for x in prefix])
+                hashes = K.prefix_hash(own), K.prefix_hash(own, _RUN)
+                for one in (BYTES, WORDS):
+                    these = (kind[at] == one) & ~spread
+                    each = _every(p[at][these], n[at][these])
+                    if not len(each):
+                        continue
+                    if one == BYTES:
+                        yield windows(r1, r2, one, each, each + length, [K.span_hash(x, each, each + length) for x in hashes])
+                    else:
+                        s, e, _, prefix = _words(own, np.array([0, len(own)]), *hashes)
+                        yield windows(r1, r2, one, s[each], e[each + words - 1], [K.span_hash(x, each, each + words) ^ _SALT for x in prefix])
         if rows:
             yield pack(rows)
 
@@ -237,7 +255,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs:
     place = F.struct("r1", "r2", "p")
     least = hits.where("times > 1").groupBy("key", "run").agg(F.min(place).alias("least"))
     marked = hits.join(least, ["key", "run"], "left").withColumn("first", F.coalesce(place == F.col("least"), F.lit(True)))
-    whole = _io.materialize(marked.where("times > 1").select("r1", "r2", "kind", "start", "end", "first"), "spans")
+    end = F.coalesce("end", F.col("p") + F.col("n") + F.lit(length - 1))
+    whole = _io.materialize(marked.where("times > 1").select("r1", "r2", "kind", F.coalesce("start", "p").alias("start"), end.alias("end"), "first"), "spans")
     look = marked.where("n_runs is not null and first").select("r1", "r2", "kind", "p", "n", "key", (F.col("n_runs") > most_runs).alias("hot"))
     cuts = _io.materialize(fetched(docs, look, length, words), "runs-to-look-at")
     _io.discard(hits)
@@ -275,17 +294,26 @@ def cut_out(docs: DataFrame, spans: DataFrame, kinds: tuple[int, ...] = (BYTES,)
         for b in batches:
             buf, off = K.utf8(b.column(at))
             kept, removed, said = [], [], []
-            for k, own in enumerate(b.column("spans").to_pylist()):
-                text = buf[off[k] : off[k + 1]]
-                own = own or []
-                cuts = merged([(x["start"], x["end"]) for x in own if x["kind"] in kinds])
+            of, (kind, start, end, first) = _structs(b.column("spans"), ("kind", "start", "end", "first"))
+            cut_of = np.isin(kind, kinds)
+            for k in range(b.num_rows):
+                text, here = buf[off[k] : off[k + 1]], slice(of[k], of[k + 1])
+                if of[k] == of[k + 1]:
+                    kept.append(text.tobytes())
+                    removed.append([])
+                    said.append([])
+                    continue
+                s, e, own = start[here], end[here], cut_of[here]
+                cuts = merged(s[own], e[own])
                 rest = without(text, cuts)
                 if as_text and cuts and not rest.strip(b"\t\n\v\f\r "):
-                    cuts = merged([(x["start"], x["end"]) for x in own if x["kind"] in kinds and not x["first"]])
+                    own &= ~first[here]
+                    cuts = merged(s[own], e[own])
                     rest = without(text, cuts)
+                words = kind[here] == WORDS
                 kept.append(rest)
                 removed.append([{"start": x, "end": y} for x, y in cuts])
-                said.append([{"start": x, "end": y} for x, y in merged([(x["start"], x["end"]) for x in own if x["kind"] == WORDS])])
+                said.append([{"start": x, "end": y} for x, y in merged(s[words], e[words])])
             left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(removed, span), left, pa.array(said, span)], names=[*names, "_spans", "_kept", "_passages"])
 
@@ -295,15 +323,14 @@ def cut_out(docs: DataFrame, spans: DataFrame, kinds: tuple[int, ...] = (BYTES,)
     return out.toDF(*schema.names, "_spans", "_kept", "_passages")
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The spans' union as maximal runs."""
-    out: list[tuple[int, int]] = []
-    for x, y in sorted(spans):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
+def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans as maximal runs, in order."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    s, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]]))
+    return list(zip(s[new].tolist(), reach[np.append(new[1:] - 1, len(s) - 1)].tolist(), strict=True))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs: int = MOST_RUNS, words: int = PASSAGE, word_gram: int = PASSAGE_GRAM) -> DataFrame:

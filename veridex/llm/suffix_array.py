@@ -29,13 +29,21 @@ def s_types(s: np.ndarray) -> np.ndarray:
 
 def _append(sa: np.ndarray, ptr: np.ndarray, at: np.ndarray, symbol: np.ndarray, step: int) -> None:
     """Puts suffixes `at` into their symbols' buckets in order; step 1: from the front, -1: from the back."""
-    if not len(at):
+    n = len(at)
+    if n < 2:
+        if n:
+            k = symbol[0]
+            sa[ptr[k] - (step < 0)] = at[0]
+            ptr[k] += step
         return
     order = np.argsort(symbol, kind="stable")
     sym, at = symbol[order], at[order]
-    first = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
-    count = np.diff(np.append(first, len(sym)))
-    rank = np.arange(len(sym)) - np.repeat(first, count)
+    edge = np.empty(n + 1, bool)
+    edge[0] = edge[n] = True
+    np.not_equal(sym[1:], sym[:-1], out=edge[1:n])
+    edge = np.flatnonzero(edge)
+    first, count = edge[:-1], edge[1:] - edge[:-1]
+    rank = np.arange(n) - np.repeat(first, count)
     heads = sym[first]
     if step > 0:
         sa[ptr[sym] + rank] = at
@@ -175,31 +183,26 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     most 2 n log n) are bytes compared, eight at a time; elsewhere the value is
     one less than at the preceding position."""
     n = len(text)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     phi[sa[1:]] = sa[:-1]
-    i = np.arange(n)
-    irreducible = np.ones(n, bool)
-    inner = (i > 0) & (phi > 0)
-    irreducible[inner] = text[i[inner] - 1] != text[phi[inner] - 1]
-    irreducible |= phi < 0
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.zeros(n + 1, np.uint64)
-    for b in range(8):
-        words[:n] |= padded[b : b + n].astype(np.uint64) << np.uint64(8 * b)
-    r = np.flatnonzero(irreducible & (phi >= 0))
-    value = np.zeros(n, np.int64)
-    live, l = r, 0
-    while len(live):
-        x, y = live + l, phi[live] + l
-        room = n - np.maximum(x, y)
-        x, y = np.minimum(x, n), np.minimum(y, n)
+    ahead = np.empty(n, np.uint8)  # the byte before each suffix
+    ahead[1:], ahead[:1] = text[:-1], 0
+    irreducible = (phi <= 0) | (ahead != ahead[phi])
+    irreducible[:1] = True
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = text
+    words = np.ndarray(n + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
+    x = np.flatnonzero(irreducible & (phi >= 0))
+    y = phi[x].astype(np.int64)
+    of, value = x, np.zeros(n, np.int64)
+    while len(of):
         differ = words[x] ^ words[y]
-        low = differ & (~differ + np.uint64(1))
-        same = np.where(differ == 0, 8, np.floor(np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.int64) // 8)
-        same = np.minimum(same, np.maximum(room, 0))
-        value[live] += same
-        live = live[same == 8]
-        l += 8
+        same = np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3  # low bytes in common: 8 if all are
+        same = np.minimum(same, n - np.maximum(x, y))
+        value[of] += same
+        on = same == 8
+        of, x, y = of[on], x[on] + 8, y[on] + 8
+    i = np.arange(n)
     last = np.maximum.accumulate(np.where(irreducible, i, 0))
     plcp = np.maximum(value[last] - (i - last), 0)
     plcp[phi < 0] = 0
@@ -213,9 +216,11 @@ def repeated(text: np.ndarray, length: int, valid: np.ndarray) -> tuple[np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sa = of_bytes(text)
     plcp, _ = permuted_lcp(text, sa)
-    group = np.cumsum(plcp[sa] < length)  # suffixes of one group share their first bytes
+    group = np.cumsum(plcp[sa] < length, dtype=np.int32)  # suffixes of one group share their first bytes
     here = valid[sa]
     shared = np.bincount(group[here], minlength=group[-1] + 1) > 1
     use = here & shared[group]
-    order = np.argsort(sa[use])
-    return sa[use][order], group[use][order]
+    number = np.full(len(text), -1, np.int32)
+    number[sa[use]] = group[use]
+    found = np.flatnonzero(number >= 0)
+    return found, number[found]
