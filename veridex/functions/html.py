@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import sentences
+from .text import let, sentences
 
 _L, _R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"  # ASCII word boundaries
 
@@ -21,7 +21,7 @@ INSTRUCTIONS = (
     ("exfiltration", _words("send", "forward", "email") + _GAP + _L + r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}" + _R),
     ("role_override", _words("you are now") + "|" + _words("act as") + _GAP + _words("unrestricted", "jailbroken", "dan") + "|" + _words("from now on you (are|will)")),
     ("instruction_injection", _words("ignore", "disregard", "forget", "override") + _GAP + _words("previous", "prior", "earlier", "above", "all") + _GAP + _words("instruction", "instructions", "prompt", "rules", "context")),
-    ("instruction_injection", _words("mark", "rate", "classify", "label", "treat", "flag") + _GAP + _words("this", "the") + _GAP + _words("source", "article", "page", "document", "claim") + "?" + _GAP + _L + "(as )?" + "(credible|trusted|trustworthy|verified|reliable|accurate|true)" + _R),
+    ("instruction_injection", _words("mark", "rate", "classify", "label", "treat", "flag") + _GAP + _words("this", "the") + _GAP + f"(?:{_words('source', 'article', 'page', 'document', 'claim')})?" + _GAP + _L + "(as )?" + "(credible|trusted|trustworthy|verified|reliable|accurate|true)" + _R),
     ("instruction_injection", _words("do not", "don't", "never") + _GAP + _words("flag", "report", "mention", "quarantine", "warn", "contradict")),
     ("instruction_injection", _L + r"new (instructions?|system prompt|task)" + _R + r"\s*:"),
     ("role_override", _L + r"system\s*:\s*"),
@@ -31,12 +31,16 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 _HIDDEN = r"""(?is)<([a-z0-9]+)(?![A-Za-z0-9_])[^>]*(?:style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)[^"']*["']|(?<![A-Za-z0-9_])hidden(?![A-Za-z0-9_])|aria-hidden\s*=\s*["']true["'])[^>]*>(.*?)</\1>"""
 
 
+#: A word that each of INSTRUCTIONS needs: most sentences have none and are done.
+_ANY = "(?i)" + _words("send", "forward", "email", "leak", "exfiltrate", "post", "you are now", "act as", "from now on you", "ignore", "disregard", "forget", "override", "mark", "rate", "classify", "label", "treat", "flag", "do not", "don't", "never", "new", "system")
+
+
 def instruction(span: Column) -> Column:
     """The kind of instruction a span reads as, or null."""
-    out = None
+    out = F.when(~span.rlike(_ANY), F.lit(None))
     for kind, pattern in INSTRUCTIONS:
         hit = span.rlike("(?i)" + pattern)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        out = out.when(hit, kind)
     return out
 
 
@@ -89,6 +93,10 @@ def sanitized(content: Column) -> Column:
     for pattern, to in ((r"<[^>]+>", " "), (r"(?i)&nbsp;", " "), (r"(?i)&amp;", "&"), (r"[ \t]+", " "), (rf"{_SPACE}*\n{_SPACE}*", "\n")):
         t = F.regexp_replace(t, pattern, to)
     judged = F.transform(sentences(_trim(t)), lambda s: F.struct(s.alias("s"), instruction(s).alias("kind")))
-    quarantined = F.transform(F.filter(judged, lambda j: j["kind"].isNotNull()), lambda j: event(j["kind"], j["s"], "quarantined"))
-    clean = F.array_join(F.transform(F.filter(judged, lambda j: j["kind"].isNull()), lambda j: j["s"]), " ")
-    return F.struct(clean.alias("clean"), F.concat(scripts, hidden_comments, elements, quarantined).alias("events"))
+
+    def told(j: Column) -> Column:
+        quarantined = F.transform(F.filter(j, lambda x: x["kind"].isNotNull()), lambda x: event(x["kind"], x["s"], "quarantined"))
+        clean = F.array_join(F.transform(F.filter(j, lambda x: x["kind"].isNull()), lambda x: x["s"]), " ")
+        return F.struct(clean.alias("clean"), F.concat(scripts, hidden_comments, elements, quarantined).alias("events"))
+
+    return let(judged, told)

@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Kinds of calculation and the inputs they take.
-KINDS = ("percent_change", "ratio", "market_share", "average", "total", "unit_conversion", "date_interval", "none")
+# How far a claimed result may be off.
 TOLERANCE, FLOOR = 0.02, 1e-9
 
 
+def plain(x: float) -> str:
+    """The shortest text of a double, in JavaScript's form."""
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(x))
+    mantissa, _, exponent = repr(float(x)).partition("e")
+    if not exponent:
+        return mantissa
+    e = int(exponent)
+    digits = mantissa.replace(".", "").lstrip("-")
+    if -7 < e < 0:
+        return ("-" if x < 0 else "") + "0." + "0" * (-e - 1) + digits
+    return f"{mantissa.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
+
+
 def significant(x: Column) -> Column:
     """x to 12 significant digits."""
-    return F.format_string("%.11e", x.cast("double")).cast("double")
+    return F.format_string("%.11e", x.cast("double")).try_cast("double")  # null is printed as text
 
 
 def kahan_sum(inputs: Column) -> Column:

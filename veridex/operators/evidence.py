@@ -20,8 +20,8 @@ PREFERRED_BY_TYPE = {
     "numeric": ("primary", "gov", "academic"), "event": ("primary", "news", "gov"), "causal": ("academic", "primary"), "definitional": ("encyclopedia", "academic", "gov"),
     "quote": ("primary", "news"), "prediction": ("academic", "news"), "existence": ("primary", "news", "encyclopedia"), "comparison": ("primary", "academic", "news"), "general": ("news", "encyclopedia"),
 }
-#: Mode: least independent origins, most iterations, most sources.
-BUDGETS = {"quick": (1, 1, 4), "deep": (2, 2, 8), "high_stakes": (3, 3, 12)}
+
+ABSTENTIONS, ABSTENTION_IN_TIME = ("No source in the preferred set reports on the claim", "The only supporting sources trace to a single origin with no independent corroboration"), "The most recent evidence predates the period the claim refers to"
 
 
 def survives(clean: Column, passage: Column) -> Column:
@@ -67,10 +67,10 @@ def temporal(claims: DataFrame, evidence: DataFrame, dates: DataFrame) -> DataFr
     superseded = F.coalesce((F.col("scope") == "current") & (F.col("latest_contra") > F.col("latest_support")), F.lit(False))
     t = t.withColumn("superseded", superseded).withColumn("claim_as_of", F.coalesce(F.nullif("as_of", F.lit("")), "latest_support"))
     note = (
-        F.when(F.col("scope") == "prediction", "prediction, not evaluated as currently true or false")
-        .when(F.col("scope") == "historical", F.concat(F.lit("historical, of "), F.coalesce(month_year(F.col("claim_as_of")), F.lit("a stated past period"))))
-        .when(F.col("superseded"), F.concat(F.lit("no longer current as of "), month_year(F.col("latest_contra"))))
-        .otherwise("not superseded")
+        F.when(F.col("scope") == "prediction", "A prediction about the future; not evaluated as currently true or false.")
+        .when(F.col("scope") == "historical", F.concat(F.lit("Scoped to "), F.coalesce(month_year(F.col("claim_as_of")), F.lit("a stated past period")), F.lit("; assessed as a historical claim and not affected by later changes.")))
+        .when(F.col("superseded"), F.concat(F.lit("Was accurate earlier but is no longer current as of "), month_year(F.col("latest_contra")), F.lit(".")))
+        .otherwise("No newer evidence supersedes this claim.")
     )
     return t.select("claim_id", "scope", "claim_as_of", "latest_support", "latest_contra", F.greatest("latest_support", "latest_contra").alias("latest_evidence"), "superseded", note.alias("note"))
 
@@ -81,34 +81,42 @@ def _lookup(values: dict, key: Column) -> Column:
 
 
 def contracts(claims: DataFrame) -> DataFrame:
-    """The default contract of each claim: preferred source types, whether a primary source is required, and the number of conditions to abstain."""
+    """The default contract of each claim: preferred source types, whether a primary source is required, and when to abstain."""
     required = F.coalesce(_lookup(PRIMARY_BY_TYPE, F.col("claim_type")), F.lit(False)) | F.coalesce(F.col("risk") == "high", F.lit(False))
-    return claims.select("claim_id", "time_sensitive", _lookup(PREFERRED_BY_TYPE, F.col("claim_type")).alias("preferred"), required.alias("primary_required"), (F.when(F.col("time_sensitive"), 3).otherwise(2)).alias("n_abstentions"))
+    return claims.select("claim_id", "time_sensitive", _lookup(PREFERRED_BY_TYPE, F.col("claim_type")).alias("preferred"), required.alias("primary_required"), F.array_compact(F.array(*map(F.lit, ABSTENTIONS), F.when(F.col("time_sensitive"), ABSTENTION_IN_TIME))).alias("abstentions"))
 
 
-def evaluate_contracts(contract: DataFrame, evidence: DataFrame, types: DataFrame, origins: DataFrame, least_origins: int = 2, current: DataFrame | None = None) -> DataFrame:
-    """Six criteria of each claim and the conditions they trigger, in order.
+def evaluate_contracts(contract: DataFrame, evidence: DataFrame, types: DataFrame, origins: DataFrame, plan: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Six criteria of each claim, the conditions they trigger, in order, and an explanation.
 
-    types: source_id, source_type. origins: claim_id, support_origins. current:
-    claim_id, evidence_current (taken as true where absent)."""
-    supports = F.col("stance") == "supports"
-    facts = contract.select("claim_id", "preferred").join(evidence.join(types, "source_id"), "claim_id").groupBy("claim_id").agg(
-        F.count_if(supports).alias("n_s"), F.count_if(F.col("stance").isin("contradicts", "qualifies")).alias("n_c"),
-        F.count_if(supports & (F.col("source_type") == "primary")).alias("n_p"), F.count_if(supports & F.array_contains("preferred", F.col("source_type"))).alias("n_f"),
+    evidence: claim_id, source_id, stance, all validated. types: source_id, source_type. origins: claim_id, support_origins. plan:
+    claim_id, plan_preferred, plan_primary_required, least_origins (see research.plan); a claim without a plan meets nothing.
+    current: claim_id, evidence_current (taken as true where absent)."""
+    supports, kind = F.col("stance") == "supports", F.col("source_type")
+    c = contract.join(plan.select("claim_id", "plan_preferred", "plan_primary_required", "least_origins"), "claim_id", "left").withColumn("planned", F.col("least_origins").isNotNull())
+    facts = c.where("planned").select("claim_id", "preferred", "plan_preferred").join(evidence.join(types, "source_id"), "claim_id").groupBy("claim_id").agg(
+        F.count_if(supports).alias("n_s"), F.count_if(F.col("stance").isin("contradicts", "qualifies")).alias("n_c"), F.count_if(supports & (kind == "primary")).alias("n_p"),
+        F.count_if(supports & F.array_contains("preferred", kind)).alias("n_f"), F.count_if(supports & F.array_contains("plan_preferred", kind)).alias("n_g"),
     )
-    c = contract.join(facts, "claim_id", "left").join(origins, "claim_id", "left").na.fill(0, ["n_s", "n_c", "n_p", "n_f", "support_origins"])
+    c = c.join(facts, "claim_id", "left").join(origins, "claim_id", "left").na.fill(0, ["n_s", "n_c", "n_p", "n_f", "n_g", "support_origins"])
     c = c.join(current, "claim_id", "left") if current is not None else c.withColumn("evidence_current", F.lit(True))
-    s, o = F.col("n_s") > 0, F.col("n_c") > 0
+    s, o, fresh = F.col("n_s") > 0, F.col("n_c") > 0, F.coalesce("evidence_current", F.lit(True))
+    needs_primary = F.col("primary_required") | F.coalesce("plan_primary_required", F.lit(False))
     c = c.withColumns({
-        "supporting_met": s, "contradicting_met": o, "primary_met": ~F.col("primary_required") | (F.col("n_p") > 0), "preferred_met": s & (F.col("n_f") > 0),
-        "origins_met": s & (F.col("support_origins") >= least_origins), "temporal_met": ~F.col("time_sensitive") | ~s | F.coalesce("evidence_current", F.lit(True)),
+        "supporting_met": s, "contradicting_met": o, "primary_met": ~needs_primary | (F.col("n_p") > 0), "preferred_met": s & (F.col("n_f") > 0) & (F.col("n_g") > 0),
+        "origins_met": s & F.coalesce(F.col("support_origins") >= F.col("least_origins"), F.lit(False)), "temporal_met": ~F.col("time_sensitive") | ~s | fresh,
     })
+    # What is said of a condition.
     said = F.array_compact(F.array(
-        F.when(~s & ~o, "no evidence accepted").when(~s, "no supporting evidence"),
-        F.when(s & ~F.col("primary_met"), "primary source required"), F.when(s & ~F.col("preferred_met"), "no preferred source"),
-        F.when(s & ~F.col("origins_met"), "too few independent origins"), F.when(~F.col("temporal_met"), "evidence predates the period"),
+        F.when(~F.col("planned"), "the research plan belongs to a different claim"),
+        F.when(~s & ~o, "no supporting or contradicting evidence was accepted").when(~s, "no supporting evidence met the contract"),
+        F.when(s & ~F.col("primary_met"), "a primary source is required but none was accepted"), F.when(s & ~F.col("preferred_met"), "no supporting evidence came from the preferred source set"),
+        F.when(s & ~F.col("origins_met"), F.concat(F.lit("fewer than "), F.col("least_origins").cast("string"), F.lit(" independent supporting origins"))),
+        F.when(~F.col("temporal_met"), "the newest supporting evidence predates the period the claim refers to"),
     ))
-    return c.select("claim_id", "supporting_met", "contradicting_met", "primary_met", "preferred_met", "origins_met", "temporal_met", said.alias("triggered"))
+    c = c.withColumn("triggered", said)
+    why = F.when(F.size("triggered") == 0, "The accepted evidence satisfies the contract.").otherwise(F.concat(F.lit("Contract not fully satisfied: "), F.array_join("triggered", "; "), F.lit(".")))
+    return c.select("claim_id", "supporting_met", "contradicting_met", "primary_met", "preferred_met", "origins_met", "temporal_met", "triggered", why.alias("explanation"))
 
 
 def band(strong: Column, origins: Column) -> Column:
@@ -211,10 +219,19 @@ def corrected(drafts: DataFrame) -> Column:
     return F.aggregate(ordered, F.col("document"), lambda d, c: F.concat(d.substr(F.lit(1), c["start"]), c["replacement"], d.substr(c["end"] + 1, F.length(d))))
 
 
+# What a verdict asks of the text, and what is said where no evidence has a sentence of its own.
+CHANGES = {"contradicted": "remove", "outdated": "update", "supported_with_qualifications": "qualify"}
+FALLBACKS = {
+    "contradicted": "The original claim was contradicted by validated evidence.", "outdated": "The original statement is no longer current.",
+    "supported_with_qualifications": "The available evidence supports a narrower claim, but the original wording omits important context.",
+    "disputed": "Reliable sources disagree about this claim.", "insufficient_evidence": "This claim could not be verified with sufficient reliable evidence.",
+}
+
+
 def change_kind(verdict: Column) -> Column:
-    """What a verdict asks of the text. Fixed values."""
-    kinds = {"contradicted": "rewrite", "outdated": "update", "disputed": "present_both_sides", "supported_with_qualifications": "qualify", "insufficient_evidence": "cite_or_remove", "failed": "retry"}
-    out = None
-    for v, k in kinds.items():
-        out = F.when(verdict == v, k) if out is None else out.when(verdict == v, k)
-    return out
+    return F.coalesce(_lookup(CHANGES, verdict), F.lit("flag"))
+
+
+def fallback_text(verdict: Column, original: Column) -> Column:
+    """A safe sentence for a claim of this verdict; the original where none is needed."""
+    return F.coalesce(_lookup(FALLBACKS, verdict), original)

@@ -16,6 +16,8 @@ def kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not own and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="veridex-"))
     return df.checkpoint(eager=True)
 
@@ -41,21 +43,30 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
-def reevaluate(failed: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, depth, reason) of all that stands on failed ids (id), breadth first.
+def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (source, target, kind) between different ones of nodes (id)."""
+    ids = lambda c: nodes.select(F.col("id").alias(c)).distinct()
+    return edges.where("source <> target").join(ids("source"), "source", "left_semi").join(ids("target"), "target", "left_semi")
+
+
+def reevaluate(failed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, depth, by_kind, by_id, reason) of all that stands on failed ids (id), breadth first, however deep.
 
     edges: (source, target, kind), source standing on target. The reason names
     the kind and the parent of the first discovery: least depth, then least
     parent, then kind. Failed ids themselves are left out.
     """
     e = edges.where(F.col("kind").isin(*FOUNDATIONAL) & (F.col("source") != F.col("target"))).select("source", "target", "kind").distinct()
-    seen = failed.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("reason")).distinct()
-    front = seen
-    for depth in range(1, most_rounds + 1):
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("by_kind", "string"), ("by_id", e.schema["target"].dataType))]
+    seen = failed.select("id", F.lit(0).alias("depth"), *none).distinct()
+    front, depth = seen, 0
+    while True:  # ends when a round finds nothing: each row is found once
+        depth += 1
         found = front.select(F.col("id").alias("target")).join(e, "target").groupBy(F.col("source").alias("id")).agg(F.min(F.struct("target", "kind")).alias("by"))
-        fresh = found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.concat(F.col("by.kind"), F.lit(" "), F.col("by.target").cast("string")).alias("reason"))
+        fresh = found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("by.kind").alias("by_kind"), F.col("by.target").alias("by_id"))
         front = kept(fresh)
         if not front.limit(1).count():
             break
         seen = kept(seen.unionByName(front))
-    return seen.where("depth > 0")
+    reason = F.concat(F.lit("may be weakened: "), F.replace("by_kind", F.lit("_"), F.lit(" ")), F.lit(" "), F.col("by_id").cast("string"), F.lit(", which did not hold; re-evaluation recommended"))
+    return seen.where("depth > 0").withColumn("reason", reason)

@@ -21,6 +21,11 @@ FOLLOWS = (
 NEXT_STEP = {"STAGED": "execute", "CALLED": "reconcile", "RECONCILED": "reconcile", "COMPENSATION_CALLED": "compensate"}
 
 
+def with_vendor(events: DataFrame) -> DataFrame:
+    """The fold keyed by action alone, with the vendor that its last STAGED payload (JSON) names."""
+    return fold(events, ("action_id",)).withColumn("vendor", F.get_json_object("staged_payload", "$.vendor"))
+
+
 def fold(events: DataFrame, keys: tuple[str, ...] = ("saga_id", "action_id")) -> DataFrame:
     """The state of each action: last event, payload of the last STAGED, counts; partial aggregates only."""
     staged = F.col("event") == "STAGED"
@@ -84,16 +89,37 @@ def vendor_counts(rows: DataFrame, staged: DataFrame) -> DataFrame:
     return a.join(b, "vendor", "full_outer").select("vendor", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("vendor_rows", "ledger_actions")))
 
 
-def reconcile(actions: DataFrame, rows: DataFrame) -> DataFrame:
+def settle(actions: DataFrame, world: DataFrame, most_attempts: int = 2) -> DataFrame:
+    """What follows for actions that were called but not committed, from a snapshot of the world (action_id, landed): commit what
+    landed, call again what didn't while attempts are left, abort it otherwise, and park what the world says nothing of."""
+    open_ = actions.where(F.col("state").isin("CALLED", "RECONCILED")).join(world, "action_id", "left")
+    step = F.when(F.col("landed").isNull(), "park").when(F.col("landed"), "commit").when(F.col("attempts") < most_attempts, "call").otherwise("abort")
+    return open_.select("saga_id", "action_id", "state", "attempts", "landed", step.alias("settlement"))
+
+
+def saga_receipts(events: DataFrame) -> DataFrame:
+    """Each saga's status, with its actions, their states and their events in order."""
+    actions = fold(events)
+    each = actions.join(timelines(events), ["saga_id", "action_id"]).groupBy("saga_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "action_id", "state", "timeline"))).alias("actions"))
+    return saga_status(actions).join(each, "saga_id")
+
+
+def findings_report(findings: DataFrame, vendor: str | None = None) -> DataFrame:
+    """Findings (kind, subject, twin, vendor), those of one vendor if asked, in a compact form: kind, subject, evidence."""
+    own = findings if vendor is None else findings.where(F.col("vendor") == vendor)
+    return own.select("kind", "subject", F.array_compact(F.array("subject", "twin")).alias("evidence"))
+
+
+def reconcile(actions: DataFrame, rows: DataFrame, order: str = "key") -> DataFrame:
     """Findings (kind, subject, twin) of actions (action_id, state) against vendor rows (key, vendor, item).
 
     Rows without an action duplicate a known row of their vendor and item (the
-    one of the greatest key), or are shadows. Compensated actions whose row is
+    last by `order`, a column of rows), or are shadows. Compensated actions whose row is
     still there are phantoms. Actions that haven't ended, or were aborted, are wedged.
     """
     ids = actions.select(F.col("action_id").alias("key"))
     known, unknown = rows.join(ids, "key", "left_semi"), rows.join(ids, "key", "left_anti")
-    twins = known.groupBy("vendor", "item").agg(F.max("key").alias("twin"))
+    twins = known.groupBy("vendor", "item").agg(F.max_by("key", order).alias("twin"))
     extra = unknown.join(twins, ["vendor", "item"], "left").select(F.when(F.col("twin").isNull(), "SHADOW_EFFECT").otherwise("DUPLICATE_CHARGE").alias("kind"), F.col("key").alias("subject"), "twin")
     none = F.lit(None).cast("string").alias("twin")
     phantom = actions.where("state = 'COMPENSATED'").join(rows.select(F.col("key").alias("action_id")), "action_id", "left_semi")
@@ -108,7 +134,7 @@ def sequence_gaps(rows: DataFrame, key: str, number: str, start: int = 1) -> Dat
 
 
 def spread_times(events: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Times laid evenly from first to last by seq, as imported histories have them."""
-    whole = Window.partitionBy()
-    share = (F.col("seq") - F.min("seq").over(whole)) / F.greatest(F.max("seq").over(whole) - F.min("seq").over(whole), F.lit(1))
+    """Times laid evenly from first to last by seq, as imported histories have them. One aggregate gives the ends of seq."""
+    low, high = events.agg(F.min("seq"), F.max("seq")).first()
+    share = (F.col("seq") - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1))
     return events.withColumn("at", F.timestamp_millis((F.unix_millis(first) + share * (F.unix_millis(last) - F.unix_millis(first))).cast("long")))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from . import storage as S
 
 HASH = "^[0-9a-f]{64}$"
@@ -22,7 +23,7 @@ def canonical(value: object) -> str:
     if isinstance(value, int | float):
         if not math.isfinite(value):
             raise ValueError("a number isn't finite")
-        return number(value)
+        return N.plain(value)
     if isinstance(value, list | tuple):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, dict):
@@ -31,20 +32,6 @@ def canonical(value: object) -> str:
     raise TypeError(f"{type(value).__name__} has no canonical form")
 
 
-def number(x: float) -> str:
-    """The shortest text of a double, in JavaScript's form."""
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    mantissa, _, exponent = repr(float(x)).partition("e")
-    if not exponent:
-        return mantissa
-    e = int(exponent)
-    digits = mantissa.replace(".", "").lstrip("-")
-    if -7 < e < 0:
-        return ("-" if x < 0 else "") + "0." + "0" * (-e - 1) + digits
-    return f"{mantissa.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
-
-
 def canonical_json(text: Column) -> Column:
     """The canonical form of JSON text; null where it is none."""
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
 
 def append_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or ignore: rows of new whose key old doesn't have."""
@@ -44,10 +45,11 @@ def latest(records: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def next_sequence(new: DataFrame, last: int, order: list[str]) -> DataFrame:
-    """Sequence numbers after `last`, in order. The order is total, so this sorts once and numbers in two steps."""
+    """Sequence numbers after `last`, in order. The order is total, so this sorts once and numbers in two steps,
+    over one written copy of the sorted rows: both steps see the same ranges, whatever is lost meanwhile."""
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     part, own = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = ranged.withColumns({"_p": part, "_i": own}).drop("_m")
+    tagged = kept(ranged.withColumns({"_p": part, "_i": own}).drop("_m"))
     sizes = tagged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
     base = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))
     return tagged.join(F.broadcast(base), "_p").withColumn("seq", F.col("_base") + F.col("_i") + 1 + F.lit(last)).drop("_p", "_i", "_base")

@@ -47,6 +47,18 @@ def illegal(events: DataFrame) -> DataFrame:
     return events.groupBy("action_id").applyInPandasWithState(check, "action_id string, seq long, before string, event string", "before string", "append", GroupStateTimeout.NoTimeout)
 
 
+def deliver(events: DataFrame, write, checkpoint: str, keys: tuple[str, ...] = ("saga_id", "seq"), every: str | None = None):
+    """Hands each micro-batch, once and in order of seq, to write(batch, batch_id); the running query. A batch that is tried again
+    after a failure comes with the same id, so a writer that skips ids it has seen delivers exactly once. every: a processing
+    interval such as '500 milliseconds'; without it, what is there is delivered and the query ends."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(batch.dropDuplicates(list(keys)).sort("seq"), batch_id)
+
+    out = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """All that is there, into an in-memory table (for tests and small state)."""
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
