@@ -298,6 +298,15 @@ def test_benchmark(spark):
     assert full.accuracy > max(naive.accuracy, majority.accuracy) and full.abstention == 1
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_passages_in_documents(spark, few):
+    from veridex.operators import evidence as E
+
+    passages = spark.createDataFrame([(1, "One two, three four"), (2, "two three four five"), (3, "three words only"), (4, None), (5, "one TWO three four six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five"), (2, "one two three fourth"), (3, None), (4, "One; two. Three! four")], "doc_id long, text string")
+    assert {tuple(r) for r in E.passages_in(passages, docs, few=few).collect()} == {(1, 1), (2, 1), (1, 4)}
+
+
 # ---- stores, ledgers, streams, reports
 
 

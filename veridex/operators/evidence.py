@@ -35,6 +35,31 @@ def verbatim(content: Column, excerpt: Column) -> Column:
     return (F.size(T.tokens(excerpt)) >= 4) & survives(content, excerpt)
 
 
+#: Passages whose keys are sought as a literal; more are joined.
+FEW_PASSAGES = 10_000
+
+
+def passages_in(passages: DataFrame, docs: DataFrame, least_words: int = 4, few: int = FEW_PASSAGES) -> DataFrame:
+    """(item_id, doc_id) of passages (item_id, text) of so many words that stand in documents (doc_id, text), in normal form, as whole words.
+
+    A passage's first words are its key, so nothing is crossed. A few passages' keys are sought in each document as it is read, which
+    moves no text; the keys of many are joined with those of the documents, and the texts of hits fetched by id."""
+    norm = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t")).where(F.size("t") >= least_words)
+    asked = norm(passages, "item_id").select("item_id", F.array_join("t", " ").alias("p"), F.xxhash64(F.array_join(F.slice("t", F.lit(1), F.lit(least_words)), " ")).alias("k"))
+    said = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("n")
+    grams = F.transform(T.grams(F.col("t"), least_words), lambda g: F.xxhash64(g))
+    d = norm(docs, "doc_id")
+    keys = [r.k for r in asked.select("k").distinct().limit(few + 1).collect()]
+    if len(keys) <= few:
+        wanted = F.array(*map(F.lit, keys)).cast("array<bigint>")
+        hits = d.select("doc_id", said, F.array_intersect(grams, wanted).alias("ks")).where(F.size("ks") > 0).select("doc_id", "n", F.explode("ks").alias("k"))
+        cand = hits.join(asked, "k")
+    else:
+        hits = d.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(asked, "k").select("doc_id", "item_id", "p")
+        cand = hits.join(d.select("doc_id", said), "doc_id")
+    return cand.where(F.col("n").contains(F.concat(F.lit(" "), F.col("p"), F.lit(" ")))).select("item_id", "doc_id").distinct()
+
+
 def by_stance(evidence: DataFrame) -> DataFrame:
     """Counts and strong counts of each stance, a row a claim."""
     strong = F.col("relevance") == "strong"

@@ -450,16 +450,8 @@ asked AS (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[''
 
 @query(rf"WITH {PASSAGES} SELECT item_id, doc_id FROM asked JOIN said ON contains(n, ' ' || p || ' ') WHERE p <> '' AND len(string_split(p, ' ')) >= 4")
 def passage_survives(spark, d):
-    """Passages in documents, word for word: a hash of a passage's first four words is the join's key, so nothing is crossed."""
-    norm = lambda df, key: df.select(key, T.tokens(F.col("text")).alias("t"))
-    asked = norm(A.table(spark, d, "benchmark"), "item_id").where(F.size("t") >= 4).select("item_id", F.array_join("t", " ").alias("p"), F.array_join(F.slice("t", F.lit(1), F.lit(4)), " ").alias("k"))
-    docs = norm(A.table(spark, d, "documents"), "doc_id").where(F.size("t") >= 4)
-    grams = F.array_distinct(F.transform(T.grams(F.col("t"), 4), lambda g: F.xxhash64(g)))
-    keys = asked.select(F.xxhash64("k").alias("k")).distinct()
-    hits = docs.select("doc_id", F.explode(grams).alias("k")).join(keys, "k").select("doc_id", "k")
-    cand = hits.join(asked.select("item_id", "p", F.xxhash64("k").alias("k")), "k").select("doc_id", "item_id", "p")
-    whole = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("n"))
-    return cand.join(whole, "doc_id").where(F.col("n").contains(F.concat(F.lit(" "), F.col("p"), F.lit(" ")))).select("item_id", "doc_id").distinct()
+    """Passages in documents, word for word."""
+    return E.passages_in(A.table(spark, d, "benchmark").select("item_id", "text"), A.table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {EVIDENCE} SELECT * FROM temporal")
