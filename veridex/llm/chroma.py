@@ -17,7 +17,9 @@ are pairs of successive integers, of all classes, however many share one
 all of the shorter recording.
 
 Null or empty media, and media shorter than all filters' reach, have no
-integers and no links. NaN and infinite samples count as 0.
+integers and no links. NaN and infinite samples count as 0. Rows of one id are
+judged by their own media; a class is named by its least id. Columns besides the
+id and the media aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ counts as one blank. The n-grams of 1 to 3 characters of a text, hashed into
 languages) is broadcast; a batch is scored in numpy from the buckets that occur.
 
 The model is fitted on a sample of labelled rows of about `max_train` (20,000)
-documents, chosen by a hash of doc_id, so it doesn't grow with the corpus.
+documents, chosen by a hash of doc_id, so it doesn't grow with the corpus; more
+than MAX_LANGUAGES (400; half a megabyte of matrix each) are refused.
 Every row is scored over its whole text. Null text, empty text and text without
 a letter get language `und` and score 0; so does every row if nothing is
 labelled. Ties go to the language that is first by code point. Rows are scored
@@ -28,7 +29,7 @@ from . import _io
 from . import _kernel as K
 from . import _points as P
 
-NGRAMS, BUCKET_BITS, SMOOTHING, MAX_TRAIN = (1, 2, 3), 16, 0.5, 20_000
+NGRAMS, BUCKET_BITS, SMOOTHING, MAX_TRAIN, MAX_LANGUAGES = (1, 2, 3), 16, 0.5, 20_000, 400
 #: Likelihoods of longer texts are scaled to so many n-grams, so that scores of mixed texts stay below 1.
 FULL_WEIGHT = 300
 UNDETERMINED = "und"
@@ -123,6 +124,9 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = SMOOTHIN
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(v[at], seen[x]))], names=["lang", "bucket", "n"])
 
+    n_languages = train.select("lang").distinct().count()
+    if n_languages > MAX_LANGUAGES:
+        raise ValueError(f"{n_languages} languages: the matrix that is broadcast is for {MAX_LANGUAGES} at most")
     # the sample is bounded, so a few tasks hold it; the result has at most languages x buckets rows
     counted = train.repartition(8).transform(_io.arrow_map, count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique().tolist())

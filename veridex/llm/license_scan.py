@@ -10,7 +10,10 @@ overlap, the one with fewer edits counts.
 Text is folded first: A-Z to lower case, and each run of other bytes than
 a-z, 0-9 and those above 7F to one blank; spans are given in words, counted
 from 0. Plain phrases (`BASE`) are found in the same pass; their labels always
-stay. Null text is empty text; it has no words, labels "" and score 0.
+stay. Null text is empty text; it has no words, labels "" and score 0. Rows are
+scanned by themselves: repeated rows give equal rows, an empty table none, and
+columns besides doc_id and text aren't read. Of overlapping notices of an equal
+share of edits the one that is listed first counts.
 """
 
 from __future__ import annotations
