@@ -249,9 +249,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs:
     rows = _io.materialize(runs(docs, length, gram, words, word_gram), "runs")
     distinct = _io.materialize(rows.groupBy("key", "run").agg(F.count("*").alias("times"), F.max("again").alias("again")), "runs-distinct")
     open_keys = distinct.groupBy("key").agg(F.count("*").alias("n_runs"), F.min("times").alias("least"), F.max(F.col("again") & (F.col("times") == 1)).alias("again")).where("n_runs > 1 and least = 1 or again").select("key", "n_runs")
-    wanted = distinct.select("key", "run", "times").join(open_keys, "key", "left").where("times > 1 or n_runs is not null")
-    hits = _io.materialize(rows.drop("again").join(wanted, ["key", "run"]), "runs-wanted")
-    _io.discard(rows, distinct)
+    wanted = _io.materialize(distinct.select("key", "run", "times").join(open_keys, "key", "left").where("times > 1 or n_runs is not null"), "runs-wanted")
+    _io.discard(distinct)
+    hits = _io.materialize(rows.drop("again").join(wanted, ["key", "run"]), "runs-hit")
+    _io.discard(rows, wanted)
     place = F.struct("r1", "r2", "p")
     least = hits.where("times > 1").groupBy("key", "run").agg(F.min(place).alias("least"))
     marked = hits.join(least, ["key", "run"], "left").withColumn("first", F.coalesce(place == F.col("least"), F.lit(True)))
