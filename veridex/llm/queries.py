@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, preferences
+from . import collocations, fill_middle, mixing, preferences
 from .chroma import op3_chroma_fingerprint
+from .collocations import op12_collocations
+from .fill_middle import op11_fill_middle
 from .fingerprint import op9_order_fingerprint
 from .langid import op10_language_id
 from .license_scan import op7_license_scan
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_order_fingerprint": op9_order_fingerprint,
     "op10_language_id": op10_language_id,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_collocations": op12_collocations,
 }
 
 #: The others have no SQL: tests/llm holds them against brute force, exact round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op2_curriculum_mix": mixing.SQL, "op4_preference_format": preferences.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_curriculum_mix": mixing.SQL, "op4_preference_format": preferences.SQL, "op11_fill_middle": fill_middle.SQL, "op12_collocations": collocations.SQL}
