@@ -15,6 +15,7 @@ from .pieces import op5_sentencepiece
 from .preferences import op4_preference_format
 from .substring_dedup import op6_suffix_dedup
 from .toxicity import op1_toxicity
+from .vector_dups import op13_vector_dups
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_fill_middle": op11_fill_middle,
     "op12_collocations": op12_collocations,
+    "op13_vector_dups": op13_vector_dups,
 }
 
 #: The others have no SQL: tests/llm holds them against brute force, exact round trips or held-out labels.
