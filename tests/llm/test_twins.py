@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veridex.llm import _kernel as K
 from veridex.llm import _points as P
@@ -262,7 +263,9 @@ def test_scores_of_a_plain_naive_bayes(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_query(spark, name):
-    table = {"op3_chroma_fingerprint": ("embeddings", "vec_id"), "op4_preference_format": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+    if name == "op12_collocations":
+        return  # test_mining holds it against its SQL
+    table = {"op3_chroma_fingerprint": ("embeddings", "vec_id"), "op13_vector_dups": ("embeddings", "vec_id"), "op4_preference_format": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
     out = queries.QUERIES[name](spark, SF)
     assert out.count() == spark.read.parquet(f"{SF}/{table[0]}.parquet").select(table[1]).count() if table[0] != "conversations" else out.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     assert len(set(out.columns)) == len(out.columns)
@@ -283,8 +286,9 @@ def test_run_against_brute_force(spark, tmp_path):
     with open(pieces.MODEL_PATH, "rb") as f:
         codec = pieces.Codec(f.read())
     want = {k: t for k, t in texts.items() if k not in (21, 22, 40, 41)}
-    for k in (30, 31):
-        want[k] = want[k].replace(passage, "")
+    place = {r.doc_id: r.r for r in docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("r")).collect()}
+    later = max(30, 31, key=place.get)  # the passage stays in the other
+    want[later] = want[later].replace(passage, "")
     assert set(got) <= set(want) and len(set(got) & set(range(12))) >= 6 and {20, 30, 31} & set(got)  # the mix takes some sources' documents less than once
     for k, r in got.items():
         ids, off = codec.encode([want[k]])

@@ -267,11 +267,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_runs:
     return every.groupBy("r1", "r2").agg(F.collect_set(F.struct("kind", "start", "end", "first")).alias("spans"))
 
 
-def cut_out(docs: DataFrame, spans: DataFrame, kinds: tuple[int, ...] = (BYTES,), as_text: bool = False) -> DataFrame:
+def cut_out(docs: DataFrame, spans: DataFrame, kinds: tuple[int, ...] = (BYTES,), as_text: bool = False, keep_first: bool = False) -> DataFrame:
     """docs, with _spans (removed byte ranges, half open), _kept (the bytes that
-    remain; as_text: their whole characters, and of a document that would lose
-    all but blanks the first places stay) and _passages (byte ranges of repeated
-    passages of words, whether removed or not)."""
+    remain; as_text: their whole characters; keep_first: the first place of each
+    string stays) and _passages (byte ranges of repeated passages of words,
+    whether removed or not)."""
     schema = docs.schema
     at = docs.columns.index("text")
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -304,13 +304,9 @@ def cut_out(docs: DataFrame, spans: DataFrame, kinds: tuple[int, ...] = (BYTES,)
                     removed.append([])
                     said.append([])
                     continue
-                s, e, own = start[here], end[here], cut_of[here]
+                s, e, own = start[here], end[here], cut_of[here] & ~(first[here] & keep_first)
                 cuts = merged(s[own], e[own])
                 rest = without(text, cuts)
-                if as_text and cuts and not rest.strip(b"\t\n\v\f\r "):
-                    own &= ~first[here]
-                    cuts = merged(s[own], e[own])
-                    rest = without(text, cuts)
                 words = kind[here] == WORDS
                 kept.append(rest)
                 removed.append([{"start": x, "end": y} for x, y in cuts])
@@ -351,13 +347,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their repeated passages of PASSAGE words or of LENGTH bytes
-    cut out (a character cut in part goes whole) and n_chars counted anew. Of a
-    document that would lose all but blanks its first places stay; if it has
-    none, it goes, as all of it is kept in another."""
+    """Documents without the repetitions of passages of PASSAGE words or of LENGTH
+    bytes: the first place of each stays, all others are cut out (a character
+    cut in part goes whole), and n_chars is counted anew. First is least by a
+    hash of id and text, then by place, so documents that share several passages
+    agree on the first. A document of which only blanks are left goes, as all of
+    it is kept in others."""
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = {c: names[k] for k, c in enumerate(docs.columns)}
-    out = cut_out(docs, repeats(docs), (BYTES, WORDS), as_text=True).toDF(*names, "spans", "kept", "passages")
+    out = cut_out(docs, repeats(docs), (BYTES, WORDS), as_text=True, keep_first=True).toDF(*names, "spans", "kept", "passages")
     text = F.when(F.size("spans") == 0, F.col(at["text"])).otherwise(F.col("kept"))
     cols = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(at[c]).alias(c) for c in docs.columns]
     return out.where((F.size("spans") == 0) | F.col("kept").rlike(r"[^\t-\r ]")).select(*cols)
