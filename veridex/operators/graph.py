@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edge kinds along which a failure spreads. Fixed values.
 FOUNDATIONAL = ("depends_on", "derived_from", "assumes", "calculated_from")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder, which a lost executor doesn't take away."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the checkpoint folder, or on one machine (tests) a local one where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not own and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="veridex-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder, which a lost executor doesn't take away."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

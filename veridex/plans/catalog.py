@@ -332,7 +332,7 @@ roots AS (SELECT id, min(r) AS root FROM reach GROUP BY id)"""
 
 def _roots(spark, d):
     s = A.sources(spark, d)
-    return s, LN.origins(s, LN.near_duplicates(s))
+    return s, LN.origins(s, LN.near_links(s))
 
 
 @query(f"{COMPONENTS} SELECT id, root FROM roots")
@@ -769,4 +769,4 @@ def number_extraction(spark, d):
     return n.select("l_orderkey", "l_linenumber", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("v").cast("bigint").alias("n"), N.direction(F.col("said")).alias("direction"))
 
 
-from . import audits  # noqa: E402, F401  registers the queries of audits as a whole
+from . import audits, processes  # noqa: E402, F401  register the queries of audits as a whole and of what happens over time
