@@ -27,21 +27,21 @@ def assembled(raw: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.size(said) > MOST_CLAIMS, "too many claims").when(blank, "a claim without text")
     judged = raw.select(key, "document", said.alias("claims"), reason.alias("reason"))
     found = F.transform("claims", lambda c, i: F.struct(
-        i.alias("i"), T.hash_id("claim", F.coalesce(F.nullif(c["normalized"], F.lit("")), c["original_text"])).alias("id"),
-        (F.instr(F.col("document"), c["original_text"]) - 1).alias("start"), (F.instr(F.col("document"), c["original_text"]) - 1 + F.length(c["original_text"])).alias("end"),
+        i.alias("i"), T.hash_id("claim", F.coalesce(F.nullif(c["normalized"], F.lit("")), c["original_text"])).alias("claim"),
+        (F.instr(F.col("document"), c["original_text"]) - 1).alias("lo"), (F.instr(F.col("document"), c["original_text"]) - 1 + F.length(c["original_text"])).alias("hi"),
     ))
 
     def take(taken: Column, x: Column) -> Column:
-        clash = F.exists(taken, lambda y: (y["id"] == x["id"]) | ((x["start"] < y["end"]) & (x["end"] > y["start"])))
-        return F.when((x["start"] < 0) | clash, taken).otherwise(F.concat(taken, F.array(x)))
+        clash = F.exists(taken, lambda y: (y["claim"] == x["claim"]) | ((x["lo"] < y["hi"]) & (x["hi"] > y["lo"])))
+        return F.when((x["lo"] < 0) | clash, taken).otherwise(F.concat(taken, F.array(x)))
 
-    none = F.array().cast("array<struct<i:int,id:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<i:int,claim:string,lo:int,hi:int>>")
     good = judged.where("reason is null and document is not null").withColumn("taken", F.aggregate(found, none, take))
-    each = good.select(key, "claims", F.explode("taken").alias("t")).select(key, "t.*", F.col("claims")[F.col("t.i")].alias("c"))
+    each = good.select(key, "claims", F.explode("taken").alias("t")).select(key, "t", F.col("claims")[F.col("t.i")].alias("c"))
     listed = lambda c, values, default: F.when(F.col(c).isin(*values), F.col(c)).otherwise(default)
     claims = each.select(
-        key, F.col("id").alias("claim_id"), F.col("c.original_text").alias("text"), F.coalesce(F.nullif("c.normalized", F.lit("")), F.lower("c.original_text")).alias("normalized"),
-        listed("c.claim_type", KINDS, "general").alias("claim_type"), "start", "end", F.coalesce("c.verifiable", F.lit(False)).alias("verifiable"),
+        key, F.col("t.claim").alias("claim_id"), F.col("c.original_text").alias("text"), F.coalesce(F.nullif("c.normalized", F.lit("")), F.lower("c.original_text")).alias("normalized"),
+        listed("c.claim_type", KINDS, "general").alias("claim_type"), F.col("t.lo").alias("start"), F.col("t.hi").alias("end"), F.coalesce("c.verifiable", F.lit(False)).alias("verifiable"),
         F.coalesce("c.time_sensitive", F.lit(False)).alias("time_sensitive"), listed("c.risk", RISKS, "medium").alias("risk"), F.lit("contracted").alias("status"), F.col("c.as_of").alias("as_of"),
     )
     return claims, judged.where("reason is not null").select(key, "reason")

@@ -253,9 +253,48 @@ def violations(t: Receipts) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+#: Fixed order in which a receipt is checked: each line is one pass over a relation's rows, and a row is held to all rules of the line
+#: before the next row is.
+PASSES = (
+    "header_mode header_version header_blank header_hash header_time header_order",
+    "search_sequence search_blank search_agent",
+    "source_repeated",
+    "source_hash source_without_retrieval retrieval_blank retrieval_agent retrieval_search retrieval_url retrieval_time retrieval_hash retrieval_id",
+    "verdict_repeated",
+    "verdict_kind verdict_confidence",
+    "evidence_repeated",
+    "evidence_claim evidence_source evidence_hash evidence_validated evidence_stance evidence_entity evidence_scope evidence_qualification",
+    "verdict_ids_repeated verdict_both_sides verdict_support verdict_contradiction",
+    "check_repeated",
+    "check_claim check_finite check_calculation check_grounding check_ungrounded check_match check_ids_repeated check_evidence",
+    "verdict_unsupported verdict_undisproved verdict_one_sided",
+    "contract_repeated",
+    "contract_claim contract_form",
+    "contract_missing",
+    "revision_repeated",
+    "change_repeated",
+    "revision_claim revision_hash revision_kind revision_source revision_marker revision_ids_repeated revision_evidence revision_check revision_ungrounded revision_id",
+    "safety_source safety_form",
+    "approved_repeated",
+    "approved_unknown",
+    "search_claim",
+    "retrieval_claim",
+    "failure_sequence failure_claim failure_error failure_of_claim failure_agent failure_operation failure_query failure_search failure_url",
+)
+
+
+def first_broken(broken: DataFrame) -> DataFrame:
+    """(audit_id, rule, subject): of violations (audit_id, rule, subject) the one that is met first: by pass, then by row (numbers as
+    numbers, ids as text), then by rule. One aggregate, partial first."""
+    turn = F.create_map(*[F.lit(x) for k, line in enumerate(PASSES) for j, rule in enumerate(line.split()) for x in (rule, 100 * k + j)])[F.col("rule")]
+    number = F.col("subject").try_cast("bigint")
+    place = F.struct(F.floor(turn / 100).alias("pass"), F.coalesce(number, F.lit(1 << 62)).alias("number"), F.col("subject").alias("name"), turn.alias("turn"))
+    return broken.groupBy("audit_id").agg(F.min_by(F.struct("rule", "subject"), place).alias("x")).select("audit_id", "x.rule", "x.subject")
+
+
 def verified(t: Receipts, sealed: DataFrame) -> DataFrame:
-    """(audit_id, valid, reason) of sealed receipts (audit_id, canonical, receipt_hash): the hash first, then the first broken rule by name."""
-    first = violations(t).groupBy("audit_id").agg(F.min("rule").alias("rule"))
+    """(audit_id, valid, reason) of sealed receipts (audit_id, canonical, receipt_hash): the hash first, then the broken rule that is met first."""
+    first = first_broken(violations(t)).select("audit_id", "rule")
     intact = F.sha2("canonical", 256).eqNullSafe(F.col("receipt_hash"))
     reason = F.when(~intact, "receipt hash does not match its contents; the receipt was modified").otherwise(F.coalesce("rule", F.lit("receipt hash, provenance, and grounding references are intact")))
     return sealed.join(first, "audit_id", "left").select("audit_id", (intact & F.col("rule").isNull()).alias("valid"), reason.alias("reason"))

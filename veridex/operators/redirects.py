@@ -25,7 +25,7 @@ def resolved(base: Column, location: Column) -> Column:
                 out.append(None)
         return pd.Series(out, dtype=object)
 
-    whole = location.rlike(r"(?i)^https?://[^/?#\s]+[^#\s]*$") & ~location.contains("/.")
+    whole = location.rlike(r"(?i)^https?://[a-z0-9.-]+(:\d+)?([/?][^#\s]*)?$") & ~location.contains("/.")
     return F.when(whole, location).otherwise(F.pandas_udf(each, "string")(base, location))
 
 

@@ -210,6 +210,23 @@ def audit_receipt_violations(spark, d):
     return RR.violations(_receipts(spark, d)).select("audit_id", "rule").distinct()
 
 
+_TURNS = ", ".join(f"('{r}', {100 * k + j})" for k, line in enumerate(RR.PASSES) for j, r in enumerate(line.split()))
+
+
+@query(f"""WITH planted AS (SELECT * FROM (VALUES {_RULES}) AS v(p, rule)), turns AS (SELECT * FROM (VALUES {_TURNS}) AS v(rule, turn)),
+first AS (SELECT o_orderkey AS audit_id, arg_min(rule, CASE WHEN p = 19 AND rule = 'retrieval_id' THEN turn - 10 ELSE turn END) AS rule FROM orders JOIN planted ON o_orderkey % 97 = p JOIN turns USING (rule) GROUP BY 1)
+SELECT o.o_orderkey AS audit_id, o.o_orderkey % 7 <> 0 AND rule IS NULL AS valid,
+  CASE WHEN o.o_orderkey % 7 = 0 THEN 'receipt hash does not match its contents; the receipt was modified' ELSE coalesce(rule, 'receipt hash, provenance, and grounding references are intact') END AS reason
+FROM orders o LEFT JOIN first ON first.audit_id = o.o_orderkey""")
+def receipts_verified(spark, d):
+    """The same receipts, every seventh with another hash: whether each holds, and the first reason why not. (Where a retrieval hangs on
+    another source, that source's id comes first in order.)"""
+    text = F.concat(F.lit("receipt "), F.col("o_orderkey").cast("string"))
+    digest = F.when(F.col("o_orderkey") % 7 == 0, F.sha2(F.lit("another"), 256)).otherwise(F.sha2(text, 256))
+    sealed = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("audit_id"), text.alias("canonical"), digest.alias("receipt_hash"))
+    return RR.verified(_receipts(spark, d), sealed)
+
+
 @query("SELECT o_orderkey AS audit_id, 'verdicts' AS relation, side, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS n FROM orders, (VALUES ('result'), ('receipt')) AS s(side) WHERE o_orderkey % 5 = 0 AND NOT (side = 'receipt' AND o_orderkey % 3 = 0)")
 def receipt_parity(spark, d):
     n = F.col("o_orderkey")
