@@ -45,6 +45,8 @@ from . import _kernel as K
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMO_WORDS = 150_000
+#: Threads that a worker encodes with, where RAYON_NUM_THREADS isn't set. Workers share a machine, and each thread keeps memory of its own.
+THREADS = 2
 #: Words that are encoded as one text.
 JOINED = 1000
 # Model and piece types of the format.
@@ -308,6 +310,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         codec = Codec(shared.value)
         for b in batches:
             buf, off = K.utf8(b.column(1))
