@@ -1,6 +1,7 @@
 """Brute-force twins of operators that SQL can't express, hard inputs for each operator, and all queries and the pipeline as registered."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -271,6 +272,39 @@ def test_registered_query(spark, name):
     assert len(set(out.columns)) == len(out.columns)
 
 
+def _votes(x, y):
+    """Votes of each shift by all pairs of places whose two successive integers are equal."""
+    votes = collections.Counter()
+    for i, j in itertools.product(range(len(x) - 1), range(len(y) - 1)):
+        if x[i : i + 2] == y[j : j + 2]:
+            votes[j - i] += 1
+    return votes
+
+
+def test_best_shifts_are_those_of_all_pairs_of_places(spark):
+    rng = random.Random(5)
+    prints = [[v for _ in range(rng.randrange(1, 9)) for v in [rng.randrange(4)] * rng.choice((1, 1, 2, 7, 30))] for _ in range(24)] + [[], [3], [3, 3], [3] * 50]
+    rows = spark.createDataFrame(list(enumerate(prints)), "class long, fingerprint array<int>")
+    each = chroma.seeds(rows, 2)
+    for salts in (1, 5):
+        got = {(r.q, r["class"]): (r["shift"], r.votes) for r in chroma.best_shifts(each, each, salts).collect()}
+        want = {}
+        for q, c in itertools.product(range(len(prints)), repeat=2):
+            if votes := _votes(prints[q], prints[c]):
+                shift = min(votes, key=lambda s: (-votes[s], s))
+                want[q, c] = (shift, votes[shift])
+        assert got == want
+
+
+def test_a_long_silence_that_all_recordings_share_is_a_row_of_each(spark):
+    rng = random.Random(6)
+    prints = [[rng.getrandbits(31) for _ in range(40)] + [0] * 2000 + [rng.getrandbits(31) for _ in range(20 + k % 7)] for k in range(500)]
+    rows = spark.createDataFrame(list(enumerate(prints)), "id long, fingerprint array<int>")
+    assert chroma.seeds(rows.withColumnRenamed("id", "class"), 2).where("length = 1999").count() == 500
+    got = chroma.align(rows, "id").where("asked").collect()
+    assert len(got) == 10 and all(r.n_links == 499 and r.best_shift == 0 for r in got)
+
+
 def test_run_against_brute_force(spark, tmp_path):
     """The pipeline over a table whose outcome is known: other scripts go, one copy stays, passages of 51 words are cut, all else is encoded as it was."""
     import corpus_pipeline

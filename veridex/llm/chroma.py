@@ -13,7 +13,8 @@
 Recordings of one fingerprint are one class, and classes are searched, so
 copies are not paired; a query's links count all recordings of a class. Seeds
 are pairs of successive integers, of all classes, however many share one
-(silence, hum). Alignments need `LEAST_OVERLAP` places in common, or
+(silence, hum): a stretch of equal seeds is one row of the search, whatever its
+length, and one seed's rows are dealt over many tasks. Alignments need `LEAST_OVERLAP` places in common, or
 all of the shorter recording.
 
 Null or empty media, and media shorter than all filters' reach, have no
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -38,6 +39,8 @@ RATE, FRAME, HOP, LOWEST, OCTAVES = 11025, 4096, 1365, 65.4, 6
 SMOOTHING = (0.25, 0.75, 1.0, 0.75, 0.25)
 MAX_BIT_ERROR, LEAST_OVERLAP = 0.35, 16
 REACH = 16
+#: Keys that the runs of one seed are dealt over.
+SALTS = 16
 #: (first frame, frames, first class, classes, kind): rectangles of the filters' images.
 FILTERS = tuple((0, 4 * (1 + k % 4), 3 * (k // 4) % 12, 2 + (k * 5) % 5, k % 3) for k in range(16))
 #: Where each filter's value is cut into four.
@@ -108,18 +111,38 @@ def fingerprint(media: DataFrame, id_col: str, pcm_col: str, rate: int = RATE, f
 
 
 def seeds(rows: DataFrame, run: int) -> DataFrame:
-    """(class, place, seed): hashes of `run` successive integers."""
-    whole = F.transform(F.sequence(F.lit(1), F.size("fingerprint") - run + 1), lambda i: F.xxhash64(F.slice("fingerprint", i, run)))
-    return rows.where(F.size("fingerprint") >= run).select("class", F.posexplode(whole).alias("place", "seed"))
+    """(class, place, seed, length): hashes of `run` successive integers, `length` equal ones in a row as one, by its first place."""
+    at = lambda i: F.slice("fingerprint", i, run)
+    n = F.greatest(F.size("fingerprint") - run + 1, F.lit(1))  # shorter rows go, but perhaps only after this
+    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (at(i) != at(F.greatest(i - 1, F.lit(1)))))
+    runs = rows.where(F.size("fingerprint") >= run).select("class", "fingerprint", n.alias("n"), first.alias("f")).select("*", F.posexplode("f").alias("k", "start"))
+    length = F.coalesce(F.get("f", F.col("k") + 1), F.col("n") + 1) - F.col("start")
+    return runs.select("class", (F.col("start") - 1).alias("place"), F.xxhash64(at(F.col("start"))).alias("seed"), length.alias("length"))
+
+
+def best_shifts(mine: DataFrame, theirs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(q, class, shift, votes): for each pair with a seed in common the shift of most votes, the least of equals.
+
+    Runs of m and n equal seeds vote for m + n - 1 shifts, in numbers that rise, stay and fall; so a pair of runs sends the four places
+    where the slope changes, not its m x n votes. The sum of such shapes is largest, and first so, where some slope changes. Each seed's
+    runs are dealt over `salts` keys, and those asked for repeated, so that one seed that all recordings have isn't one task's.
+    """
+    dealt = theirs.withColumn("salt", F.pmod(F.xxhash64("class", "place"), F.lit(salts)).cast("int"))
+    asked = mine.select(F.col("class").alias("q"), F.col("place").alias("p"), "seed", F.col("length").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    between, longer = F.col("place") - F.col("p"), F.col("length") - F.col("m")
+    bends = F.array(*[F.struct(at.cast("bigint").alias("shift"), F.lit(c).cast("bigint").alias("bend")) for at, c in ((between - F.col("m"), 1), (between, -1), (between + longer, -1), (between + F.col("length"), 1))])
+    each = asked.join(dealt, ["seed", "salt"]).select("q", "class", F.explode(bends).alias("x")).select("q", "class", "x.*")
+    bent = each.groupBy("q", "class", "shift").agg(F.sum("bend").alias("bend")).where("bend <> 0")
+    so_far = Window.partitionBy("q", "class").orderBy("shift").rowsBetween(Window.unboundedPreceding, 0)
+    votes = F.col("shift") * F.sum("bend").over(so_far) - F.sum(F.col("bend") * F.col("shift")).over(so_far)
+    counted = bent.select("q", "class", "shift", votes.alias("votes"))
+    return counted.groupBy("q", "class").agg(F.min_by("shift", F.struct(-F.col("votes"), "shift")).cast("int").alias("shift"), F.max("votes").alias("votes"))
 
 
 def search(classes: DataFrame, asked: DataFrame, max_error: float = MAX_BIT_ERROR) -> DataFrame:
     """(q, class, shift, votes, error) for every class that aligns with an asked
     one. classes: (class, fingerprint); asked: (class). A class aligns with itself."""
-    mine, theirs = seeds(classes.join(asked, "class", "left_semi"), 2), seeds(classes, 2)
-    found = mine.select(F.col("class").alias("q"), F.col("place").alias("p"), "seed").join(theirs, "seed").select("q", "class", (F.col("place") - F.col("p")).alias("shift"))
-    votes = found.groupBy("q", "class", "shift").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "class").agg(F.min_by("shift", F.struct(-F.col("votes"), "shift")).alias("shift"), F.max("votes").alias("votes"))
+    best = best_shifts(seeds(classes.join(asked, "class", "left_semi"), 2), seeds(classes, 2))
     side = lambda c, f: classes.select(F.col("class").alias(c), F.col("fingerprint").alias(f))
     both = best.join(side("q", "x"), "q").join(side("class", "y"), "class")
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("x"), F.size("y") - F.col("shift"))
