@@ -769,4 +769,4 @@ def number_extraction(spark, d):
     return n.select("l_orderkey", "l_linenumber", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("v").cast("bigint").alias("n"), N.direction(F.col("said")).alias("direction"))
 
 
-from . import audits, processes  # noqa: E402, F401  register the queries of audits as a whole and of what happens over time
+from . import audits, processes, services  # noqa: E402, F401  register the queries of audits as a whole and of what happens over time
