@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,24 +56,34 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("source <> target").join(ids("source"), "source", "left_semi").join(ids("target"), "target", "left_semi")
 
 
+def _together(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (p for _, p in parts))
+
+
 def reevaluate(failed: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth, by_kind, by_id, reason) of all that stands on failed ids (id), breadth first, however deep.
 
     edges: (source, target, kind), source standing on target. The reason names
     the kind and the parent of the first discovery: least depth, then least
-    parent, then kind. Failed ids themselves are left out.
+    parent, then kind. Failed ids themselves are left out. Levels are merged in
+    twos, fours and so on, so a row is written again a few times only, however
+    many levels follow it, and a round reads few tables.
     """
     e = edges.where(F.col("kind").isin(*FOUNDATIONAL) & (F.col("source") != F.col("target"))).select("source", "target", "kind").distinct()
     none = [F.lit(None).cast(t).alias(c) for c, t in (("by_kind", "string"), ("by_id", e.schema["target"].dataType))]
-    seen = failed.select("id", F.lit(0).alias("depth"), *none).distinct()
-    front, depth = seen, 0
+    front, depth = kept(failed.select("id", F.lit(0).alias("depth"), *none).distinct()), 0
+    found_so_far = [(0, front)]
     while True:  # ends when a round finds nothing: each row is found once
         depth += 1
         found = front.select(F.col("id").alias("target")).join(e, "target").groupBy(F.col("source").alias("id")).agg(F.min(F.struct("target", "kind")).alias("by"))
-        fresh = found.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("by.kind").alias("by_kind"), F.col("by.target").alias("by_id"))
+        fresh = found.join(_together(found_so_far), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("by.kind").alias("by_kind"), F.col("by.target").alias("by_id"))
         front = kept(fresh)
         if not front.limit(1).count():
             break
-        seen = kept(seen.unionByName(front))
+        found_so_far.append((0, front))
+        while len(found_so_far) > 1 and found_so_far[-1][0] == found_so_far[-2][0]:  # as many levels each: one table of both
+            merged = kept(_together(found_so_far[-2:]))
+            found_so_far[-2:] = [(found_so_far[-1][0] + 1, merged)]
+    seen = _together(found_so_far)
     reason = F.concat(F.lit("may be weakened: "), F.replace("by_kind", F.lit("_"), F.lit(" ")), F.lit(" "), F.col("by_id").cast("string"), F.lit(", which did not hold; re-evaluation recommended"))
     return seen.where("depth > 0").withColumn("reason", reason)

@@ -16,13 +16,14 @@ from .registry import query
 
 # ---- status changes ----------------------------------------------------------------
 
-#: Clients of an audit for each user: most see the last version; every seventh of an audit's updates is late by one and loses; each tenth
-#: user's see whatever came last, accepted or not. Errors ask to begin anew in mid-audit.
+#: Clients of an audit for each user: most see the last version; one in ten of an audit's updates is late by one and loses; each tenth
+#: user's see whatever came last, accepted or not. Errors ask to begin anew in mid-audit;
+#: the audits of another tenth are completed, which ends them for good.
 CLIENTS = """e AS (SELECT user_id AS audit_id, event_id AS version, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-p AS (SELECT *, k % 7 = 3 OR (event_type = 'error' AND k % 10 = 5) AS odd, CASE WHEN event_type = 'error' AND k % 10 = 5 THEN 'created' WHEN k % 10 = 1 THEN 'created' WHEN k % 10 = 0 THEN CASE event_type WHEN 'view' THEN 'failed' WHEN 'click' THEN 'cancelled' WHEN 'signup' THEN 'completed' ELSE 'partially_completed' END
+p AS (SELECT *, k % 10 = 4 OR (event_type = 'error' AND k % 10 = 5) AS odd, CASE WHEN event_type = 'error' AND k % 10 = 5 THEN 'created' WHEN k % 10 = 1 THEN 'created' WHEN k % 10 = 0 THEN CASE WHEN audit_id % 10 = 1 AND k > 30 THEN 'completed' WHEN event_type = 'view' THEN 'failed' WHEN event_type = 'click' THEN 'cancelled' ELSE 'partially_completed' END
   ELSE ['mapping_claims', 'planning_research', 'researching_support', 'researching_counterevidence', 'validating_evidence', 'arbitrating', 'generating_revision', 'validating_numeric'][k % 10 - 1] END AS status FROM e),
 a AS (SELECT *, last_value(CASE WHEN NOT odd THEN version END IGNORE NULLS) OVER (PARTITION BY audit_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good, lag(version) OVER (PARTITION BY audit_id ORDER BY k) AS prev FROM p),
-u AS (SELECT *, CASE WHEN audit_id % 10 = 0 THEN prev WHEN k % 7 = 3 THEN last_value(CASE WHEN NOT odd THEN good END IGNORE NULLS) OVER (PARTITION BY audit_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE good END AS seen FROM a)"""
+u AS (SELECT *, CASE WHEN audit_id % 10 = 0 THEN prev WHEN k % 10 = 4 THEN last_value(CASE WHEN NOT odd THEN good END IGNORE NULLS) OVER (PARTITION BY audit_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE good END AS seen FROM a)"""
 
 
 @query(f"""WITH RECURSIVE {CLIENTS},
@@ -42,10 +43,10 @@ def audit_updates(spark, d):
     k = F.col("k") % 10
     stages = ("mapping_claims", "planning_research", "researching_support", "researching_counterevidence", "validating_evidence", "arbitrating", "generating_revision", "validating_numeric")
     restart = (F.col("event_type") == "error") & (k == 5)
-    end = F.when(F.col("event_type") == "view", "failed").when(F.col("event_type") == "click", "cancelled").when(F.col("event_type") == "signup", "completed").otherwise("partially_completed")
+    end = F.when((F.col("audit_id") % 10 == 1) & (F.col("k") > 30), "completed").when(F.col("event_type") == "view", "failed").when(F.col("event_type") == "click", "cancelled").otherwise("partially_completed")
     e = A.table(spark, d, "events").select(F.col("user_id").alias("audit_id"), F.col("event_id").alias("version"), "event_type").withColumn("k", F.row_number().over(rows))
     status = F.when(restart | (k == 1), "created").when(k == 0, end).otherwise(F.get(F.array(*map(F.lit, stages)), k - 2))
-    late = F.col("k") % 7 == 3
+    late = k == 4
     e = e.withColumn("status", status).withColumn("odd", late | restart)
     e = e.withColumn("good", F.last(F.when(~F.col("odd"), F.col("version")), True).over(past)).withColumn("prev", F.lag("version").over(rows))
     before = F.last(F.when(~F.col("odd"), F.col("good")), True).over(past)
