@@ -8,6 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from veridex.functions import schemas as SC
+from veridex.operators import evidence as E
 from veridex.operators import intake as IN
 from veridex.operators import updates as UP
 from veridex.sources import search as SE
@@ -147,3 +149,22 @@ def test_a_filter_reaches_the_source(spark, stored):
     assert not re.search(r"Filter .*query", plan.split("BatchScan")[0])  # only the rank is left to Spark
     assert asked.rdd.getNumPartitions() <= 3
     assert sorted((r.query, r["rank"]) for r in asked.collect()) == [(f"query {q} é", k) for q in (1, 2) for k in (1, 2, 3)]
+
+
+# ---- schemas and corrections
+
+
+def test_schemas_keep_known_keywords_at_any_depth(spark):
+    schema = {"$schema": "x", "type": "object", "properties": {"pattern": {"type": "string", "pattern": "a+"}, "properties": {"default": 1, "minimum": 0}}, "anyOf": [{"const": 1, "enum": [1]}], "$defs": {"not": {"not": {}, "title": "n"}}, "items": None}
+    want = {"type": "object", "properties": {"pattern": {"type": "string"}, "properties": {"minimum": 0}}, "anyOf": [{"enum": [1]}], "$defs": {"not": {"title": "n"}}, "items": None}
+    rows = [(0, json.dumps(schema)), (1, "{"), (2, None), (3, "[1]"), (4, '{"properties":[{"const":1,"type":"a"}]}'), (5, "[" * 100_000)]
+    got = [r.s for r in spark.createDataFrame(rows, "i int, s string").orderBy("i").select(SC.known_keywords(F.col("s")).alias("s")).collect()]
+    assert got == [json.dumps(want, separators=(",", ":")), None, None, "[1]", '{"properties":[{"type":"a"}]}', None]
+
+
+def test_what_each_verdict_asks_for(spark):
+    rows = [("supported", 1, 0, 0, None), ("supported_with_qualifications", 1, 0, 2, None), ("supported_with_qualifications", 0, 0, 2, None), ("contradicted", 0, 3, 0, None), ("outdated", 0, 1, 0, "Newer."), ("not_verifiable", 0, 0, 0, None)]
+    v = spark.createDataFrame([(i, i % 2, *r) for i, r in enumerate(rows)], "i int, document int, verdict string, n_supports int, n_contradicts int, n_qualifies int, note string").withColumn("required_correction", E.required_correction(F.col("note")))
+    got = [r.required_correction for r in v.orderBy("i").collect()]
+    assert got[0] is None and got[5] is None and "overstated" in got[1] and "overstated" not in got[2] and "by 3 source(s)" in got[3] and got[4] == "Update the claim. Newer."
+    assert {r.document: r.claims_requiring_revision for r in E.requiring_revision(v, "document").collect()} == {0: 2, 1: 2}

@@ -198,6 +198,25 @@ def _cased(claims: DataFrame, cases: tuple) -> DataFrame:
     return claims.withColumns({"verdict": verdict, "confidence": confidence})
 
 
+def required_correction(note: Column) -> Column:
+    """What a verdict of arbitrate asks of the claim, null where it asks nothing. note: that of temporal."""
+    s, c, q = (F.col(f"n_{x}") for x in STANCES)
+    v = F.col("verdict")
+    # The wording for each verdict.
+    return (
+        F.when(v == "insufficient_evidence", "Add a citation to an independent source or remove the claim: no supporting evidence was found.")
+        .when(v == "outdated", F.concat_ws(" ", F.lit("Update the claim."), note)).when(v == "disputed", "Present both sides: credible evidence both supports and contradicts this claim.")
+        .when(v == "contradicted", F.concat(F.lit("Remove or rewrite: contradicted by "), c.cast("string"), F.lit(" source(s).")))
+        .when((v == "supported_with_qualifications") & (s > 0) & (q > 0), "Add the qualification identified in the evidence so the claim is not overstated.")
+        .when(v == "supported_with_qualifications", "Add the qualification identified in the evidence.")
+    )
+
+
+def requiring_revision(verdicts: DataFrame, key: str) -> DataFrame:
+    """(key, claims_requiring_revision) of verdicts with required_correction."""
+    return verdicts.groupBy(key).agg(F.count("required_correction").alias("claims_requiring_revision"))
+
+
 def passport(verdicts: DataFrame, key: str) -> DataFrame:
     """Counts of each verdict of a document, and its status."""
     counted = verdicts.groupBy(key).agg(F.count("*").alias("total"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])

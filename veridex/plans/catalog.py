@@ -525,6 +525,27 @@ def passport(spark, d):
     return p.select("document", "total", "supported", F.col("supported_with_qualifications").alias("qualified"), "contradicted", "disputed", "outdated", F.col("insufficient_evidence").alias("insufficient"), "not_verifiable", "verifiable", "status")
 
 
+CORRECTIONS = f"""{EVIDENCE}, asked AS (SELECT judged.claim_id, verdict, CASE WHEN verdict = 'insufficient_evidence' THEN 'Add a citation to an independent source or remove the claim: no supporting evidence was found.'
+  WHEN verdict = 'outdated' THEN concat_ws(' ', 'Update the claim.', note) WHEN verdict = 'disputed' THEN 'Present both sides: credible evidence both supports and contradicts this claim.'
+  WHEN verdict = 'contradicted' THEN 'Remove or rewrite: contradicted by ' || n_contradicts || ' source(s).' WHEN verdict = 'supported_with_qualifications' THEN CASE WHEN n_supports > 0 AND n_qualifies > 0
+  THEN 'Add the qualification identified in the evidence so the claim is not overstated.' ELSE 'Add the qualification identified in the evidence.' END END AS required_correction FROM judged JOIN temporal USING (claim_id))"""
+
+
+def _corrections(spark, d):
+    judged = E.arbitrate(_facts(spark, d)).join(_temporal(spark, d).select("claim_id", "note"), "claim_id")
+    return judged.withColumn("required_correction", E.required_correction(F.col("note")))
+
+
+@query(f"WITH {CORRECTIONS} SELECT claim_id, verdict, required_correction FROM asked")
+def required_corrections(spark, d):
+    return _corrections(spark, d).select("claim_id", "verdict", "required_correction")
+
+
+@query(f"WITH {CORRECTIONS} SELECT claim_id % 10 AS document, count(required_correction) AS claims_requiring_revision FROM asked GROUP BY 1")
+def claims_requiring_revision(spark, d):
+    return E.requiring_revision(_corrections(spark, d).withColumn("document", F.col("claim_id") % 10), "document")
+
+
 @query(f"""WITH {EVIDENCE} SELECT claim_id, CASE verdict WHEN 'contradicted' THEN 'remove' WHEN 'outdated' THEN 'update' WHEN 'supported_with_qualifications' THEN 'qualify' ELSE 'flag' END AS change,
   CASE verdict WHEN 'contradicted' THEN 'The original claim was contradicted by validated evidence.' WHEN 'outdated' THEN 'The original statement is no longer current.'
   WHEN 'supported_with_qualifications' THEN 'The available evidence supports a narrower claim, but the original wording omits important context.' WHEN 'disputed' THEN 'Reliable sources disagree about this claim.'
