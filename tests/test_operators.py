@@ -37,6 +37,14 @@ def test_reconciliation(spark):
     assert not L.reconcile(L.fold(ev.limit(0)), rows.limit(0)).collect()
 
 
+def test_spread_times_are_whole_milliseconds(spark):
+    seqs = [0, 2662, 13773, 24884, 50000, 99999]
+    events = spark.createDataFrame([(n,) for n in seqs], "seq long")
+    ends = [F.timestamp_millis(F.lit(ms)) for ms in (1700000000000, 1700086400000)]
+    got = {r.seq: r.ms for r in L.spread_times(events, *ends).select("seq", F.unix_millis("at").alias("ms")).collect()}
+    assert got == {n: 1700000000000 + n * 86400000 // 99999 for n in seqs}
+
+
 def sources(spark, rows):
     full = [(i, c, AT + dt.timedelta(hours=h), t, f"t{i}", u, q, o) for i, c, h, t, u, q, o in rows]
     return spark.createDataFrame(full, "id long, content string, published_at timestamp, source_type string, title string, canonical_url string, quotes array<string>, outbound_citations array<string>")

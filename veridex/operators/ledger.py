@@ -137,4 +137,5 @@ def spread_times(events: DataFrame, first: Column, last: Column) -> DataFrame:
     """Times laid evenly from first to last by seq, as imported histories have them. One aggregate gives the ends of seq."""
     low, high = events.agg(F.min("seq"), F.max("seq")).first()
     share = (F.col("seq") - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1))
-    return events.withColumn("at", F.timestamp_millis((F.unix_millis(first) + share * (F.unix_millis(last) - F.unix_millis(first))).cast("long")))
+    # whole milliseconds before they are added: a double of today's size has few digits left behind the point, and would round up
+    return events.withColumn("at", F.timestamp_millis(F.unix_millis(first) + F.floor(share * (F.unix_millis(last) - F.unix_millis(first)))))
