@@ -87,6 +87,18 @@ def test_state_of_a_long_stream_is_bounded(spark, tmp_path):
     assert max(held[1:]) <= held[1] * 1.2 and rows.where("kind = 'timed_out'").count() >= 500
 
 
+def test_many_audits_share_few_keys(spark, tmp_path):
+    """State and calls of Python go by keys, not by audits; audits of a key don't touch one another."""
+    rng = random.Random(5)
+    events = [(n, f"s{rng.randrange(400)}", f"a{rng.randrange(2)}", rng.choice(["STAGED", "CALLED", "COMMITTED", LC.CANCEL]), None, AT + dt.timedelta(minutes=n)) for n in range(1200)]
+    files = [events[:700:2], events[1:700:2] + events[700:], [(None, None, None, None, None, AT + dt.timedelta(days=99))]]
+    rows, progress = LC.collected(LC.lifecycle(fed(spark, f"{tmp_path}/in", files), "4 hours", "1 day"))
+    assert sorted((tuple(r) for r in rows.collect()), key=repr) == judged(events, dt.timedelta(hours=4))
+    few, progress = LC.collected(LC.lifecycle(ST.tail(spark, f"{tmp_path}/in", files_per_trigger=1), "4 hours", "1 day", keys=3))
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, rows.collect()))
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in progress) <= 3 and progress[-1].stateOperators[0].numRowsTotal == 0
+
+
 # ---- receipts
 
 

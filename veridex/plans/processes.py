@@ -39,9 +39,10 @@ def _arriving(spark, d, name="arriving"):
     late = (F.pmod(F.xxhash64("seq"), F.lit(3)) == 0).cast("int")
     chunk = F.least(F.floor(ms / (span.total_seconds() * 1000)), F.lit(CHUNKS - 1)) + late
     for k in range(CHUNKS + 1):
-        events.where(chunk == k).sort(F.xxhash64("seq")).write.mode("append").parquet(folder)
+        events.where(chunk == k).repartition(F.xxhash64("seq")).sortWithinPartitions(F.xxhash64("seq")).write.mode("append").parquet(folder)
     LC.heartbeat(spark, high + 100 * span, ST.EVENT_SCHEMA).write.mode("append").parquet(folder)
-    return ST.tail(spark, folder, files_per_trigger=4), span
+    # half of the files a batch, so that the number of batches doesn't grow with the table
+    return ST.tail(spark, folder, files_per_trigger=max(4, -(-len(spark.read.schema(ST.EVENT_SCHEMA).parquet(folder).inputFiles()) // 2))), span
 
 
 @query(f"""WITH {LEDGER}, e AS (SELECT seq, saga_id, action_id, l."at" AS t, CASE WHEN event = 'ABORTED' AND action_id LIKE '%:0' THEN 'CANCELLED' ELSE event END AS event FROM ledger l),
