@@ -188,6 +188,23 @@ def run_saga(history, world, undo, most=2):
     return {a: (s, n, a in parked, said[a]) for a, (s, n) in state.items()}
 
 
+def test_what_waits_is_written_once(spark):
+    """Undoing a saga of 6 actions takes 6 rounds, which write the commands of each and not the rest again."""
+    from pathlib import Path
+
+    from veridex.operators.graph import shared_folder
+
+    events = spark.createDataFrame([(k, 1, f"a{k}", "COMMITTED", None, AT) for k in range(6)], "seq long, saga_id long, action_id string, event string, payload string, at timestamp")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    was = set(folder.iterdir())
+    done, new = SG.driven(events, lambda c: c.select("action_id", (F.col("action_id") == "a1").alias("landed"), F.lit(None).cast("string").alias("error")), events)
+    assert {r.action_id: (r.state, r.parked) for r in done.collect()} == {"a0": ("COMMITTED", False), "a1": ("COMPENSATION_CALLED", True)} | {f"a{k}": ("COMPENSATED", False) for k in range(2, 6)}
+    assert new.where("event = 'COMPENSATED'").count() == 4
+    written = {p.name: spark.read.parquet(str(p)).count() for p in set(folder.iterdir()) - was if not p.name.startswith("rdd-")}
+    of = lambda name: sum(n for p, n in written.items() if p.startswith(name))
+    assert (of("actions"), of("left"), of("asked")) == (6, 6, 5) and not [p for p in set(folder.iterdir()) - was if p.name.startswith("rdd-")]
+
+
 def test_sagas_against_a_plain_program(spark):
     rng = random.Random(3)
     flow = ["STAGED", "CALLED", "RECONCILED", "COMMITTED", "COMPENSATION_CALLED", "COMPENSATED"]

@@ -3,7 +3,8 @@
 No answer of a call is trusted: only what the world says afterwards commits, ends
 or undoes an action. Where it says nothing the action is parked as it stands, and
 a later run takes it up again. All actions of all sagas advance together, one step
-a round; a round reads the open actions only.
+a round; a round reads the open actions only. An action is written when it is read, and
+once more for each command; nothing that waits is written again.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import kept
-from .ledger import fold
+from .graph import stored
 
 #: Fixed value: calls of one action at most.
 MOST_ATTEMPTS = 2
@@ -27,7 +27,7 @@ Answer = Callable[[DataFrame], DataFrame]
 def _asked(commands: DataFrame, answer: Answer) -> DataFrame:
     """commands with landed and error; written, so that no command is given twice."""
     out = answer(commands.select("saga_id", "action_id", "step", "attempt"))
-    return kept(commands.join(out.select("action_id", "landed", "error"), "action_id", "left"))
+    return stored([commands.join(out.select("action_id", "landed", "error"), "action_id", "left")], "asked")
 
 
 def _events(rows: DataFrame, turn: int, *steps: tuple[int, str, Column]) -> DataFrame:
@@ -65,34 +65,38 @@ def cancelled(actions: DataFrame, sagas: DataFrame, answer: Answer, turn: int =
     """(actions, events) after `sagas` (saga_id) are undone: their committed actions, newest commit first, one a round for each saga. An action
     counts as undone when the world no longer shows it; if it still does, or doesn't say, or the compensation fails, it stays at
     COMPENSATION_CALLED and the saga's older actions aren't touched."""
-    wanted = actions.join(sagas.select("saga_id").distinct(), "saga_id", "left_semi").where(F.col("state").isin("COMMITTED", "COMPENSATION_CALLED"))
+    undone = stored([sagas.select("saga_id").distinct()], "undone")
+    held = F.coalesce(F.col("state").isin("COMMITTED", "COMPENSATION_CALLED"), F.lit(False))
     newest = Window.partitionBy("saga_id").orderBy(F.col("commit_turn").desc_nulls_last(), F.col("commit_seq").desc_nulls_last(), F.col("action_id").desc())
-    left = kept(wanted.withColumn("place", F.row_number().over(newest)))
-    rest = actions.join(left.select("saga_id", "action_id"), ["saga_id", "action_id"], "left_anti")
-    ended, events, place, columns = [rest], [], 0, rest.columns
+    left = stored([actions.where(held).join(undone, "saga_id", "left_semi").withColumn("place", F.row_number().over(newest))], "left")
+    ended, events, stops, place, columns = [actions.where(~held), actions.where(held).join(undone, "saga_id", "left_anti")], [], [], 0, actions.columns
     while True:  # ends with the longest saga, or when no saga goes on
         place += 1
-        now = left.where(F.col("place") == place).withColumn("step", F.lit("compensate")).withColumn("attempt", F.col("attempts"))
-        done = _asked(now, answer)
+        now = left.where(F.col("place") == place)
+        if stops:
+            now = now.join(reduce(DataFrame.unionByName, stops).select("saga_id"), "saga_id", "left_anti")
+        done = _asked(now.withColumn("step", F.lit("compensate")).withColumn("attempt", F.col("attempts")), answer)
+        if not done.limit(1).count():
+            break
         gone = F.col("error").isNull() & F.coalesce(~F.col("landed"), F.lit(False))
         events.append(_events(done, turn + place, (1, "COMPENSATION_CALLED", F.col("state") == "COMMITTED"), (2, "COMPENSATED", gone)))
         ended.append(done.withColumn("parked", ~gone).withColumn("state", F.when(gone, "COMPENSATED").otherwise("COMPENSATION_CALLED")).select(*columns))
-        later = left.where(F.col("place") > place)
-        stopped = done.where(~gone).select("saga_id")
-        ended.append(later.join(stopped, "saga_id", "left_semi").select(*columns))
-        left = kept(later.join(stopped, "saga_id", "left_anti"))
-        if not left.limit(1).count():
-            return reduce(DataFrame.unionByName, ended), reduce(DataFrame.unionByName, events)
+        stops.append(done.where(~gone).select("saga_id", F.col("place").alias("stop")))
+    if not stops:
+        return reduce(DataFrame.unionByName, ended), _events(done, turn + place, (1, "COMPENSATED", F.lit(False)))
+    behind = left.join(reduce(DataFrame.unionByName, stops), "saga_id").where("place > stop")  # a saga stops once
+    ended.append(behind.select(*columns))
+    return reduce(DataFrame.unionByName, ended), reduce(DataFrame.unionByName, events)
 
 
 def driven(events: DataFrame, answer: Answer, sagas: DataFrame | None = None, most_attempts: int = MOST_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
     """(actions, new events) of a ledger recovered and, for `sagas`, undone. actions: (saga_id, action_id, state, attempts, parked). Events are
     (saga_id, action_id, turn, step, event), in order of turn and step, for appending after those that were there."""
-    commit = events.where("event = 'COMMITTED'").groupBy("saga_id", "action_id").agg(F.min("seq").alias("commit_seq"))
-    actions = fold(events).join(commit, ["saga_id", "action_id"], "left")
-    actions = actions.select("saga_id", "action_id", "state", F.col("attempts").cast("int").alias("attempts"), F.lit(None).cast("int").alias("commit_turn"), "commit_seq")
+    event = F.col("event")
+    folded = events.groupBy("saga_id", "action_id").agg(F.max_by("event", "seq").alias("state"), F.count_if(event == "CALLED").cast("int").alias("attempts"), F.min(F.when(event == "COMMITTED", F.col("seq"))).alias("commit_seq"))
+    actions = stored([folded.select("saga_id", "action_id", "state", "attempts", F.lit(None).cast("int").alias("commit_turn"), "commit_seq")], "actions")
     done, new, turn = executed(actions, answer, most_attempts)
     if sagas is not None:
-        done, undone = cancelled(kept(done), sagas, answer, turn)
+        done, undone = cancelled(done, sagas, answer, turn)
         new = new.unionByName(undone)
     return done.select("saga_id", "action_id", "state", "attempts", "parked"), new
