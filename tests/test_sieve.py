@@ -36,7 +36,7 @@ def test_shingle_sets(spark, k):
     assert all(len(set(got[i]) & set(got[j])) == len(want[i] & want[j]) for i in some for j in want)
 
 
-@pytest.mark.parametrize("per_slice", [10_000, 300])
+@pytest.mark.parametrize("per_slice", [10_000, 1_500])
 def test_possible_sets(spark, monkeypatch, per_slice):
     """As by counting all shingles, over one slice and bucket or many, with numbers of sets in several blocks."""
     monkeypatch.setattr(SV, "PER_BUCKET", per_slice // 3)
@@ -68,7 +68,7 @@ def test_similar_sets_compare_few(spark, monkeypatch):
 
     monkeypatch.setattr(LN, "stored", stored)
     texts = corpus(200)
-    members, pairs = LN.similar_sets(spark.createDataFrame(list(enumerate(texts)), "id long, content string"), per_slice=500)
+    members, pairs = LN.similar_sets(spark.createDataFrame(list(enumerate(texts)), "id long, content string"))
     own = {i: shingled(t) for i, t in enumerate(texts) if shingled(t)}
     least = {}
     for i in sorted(own):
@@ -79,3 +79,20 @@ def test_similar_sets_compare_few(spark, monkeypatch):
     assert {(r.a, r.b): r.jaccard for r in pairs.collect()} == want and want
     assert seen[0] == len({t for t in texts if t is not None}) + 1  # and the one without a text
     assert seen[1] < len(reps) / 2
+
+
+def test_sets_go_to_few_units(spark, monkeypatch):
+    """Of 60 sets that all meet, each goes to as many units as there are blocks, not to one for each of its 59 pairs; and all pairs are compared."""
+    monkeypatch.setattr(LN, "BLOCK", 20)
+    monkeypatch.setattr(LN, "PER_CELL", 10)
+    rng = random.Random(2)
+    sets = {f"s{i:02}": sorted(rng.sample(range(60), 40)) for i in range(60)}
+    met = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a string, b string")
+    placed, carried = LN.in_cells(met)
+    assert {(r.a, r.b) for r in placed.collect()} == {(a, b) for a in sets for b in sets if a < b} and placed.count() == 60 * 59 / 2
+    assert carried.count() <= 60 * 4
+    own = spark.createDataFrame(list(sets.items()), "id string, s array<bigint>")
+    cell = F.pmod("unit", F.lit(3)).alias("cell")
+    got = SV.overlaps(carried.join(own, "id").select(cell, "id", "s").distinct(), placed.select(cell, "a", "b"), 0.5)
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets.items() for b, y in sets.items() if a < b}
+    assert {(r.a, r.b): r.jaccard for r in got.collect()} == {p: j for p, j in want.items() if j >= 0.5}
